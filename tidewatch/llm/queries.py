@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, media, token_files, tokens
+from tidewatch.llm import bpe, media, mixing, quality, token_files, tokens, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_mixing": mixing.op4_mixing,
     "op6_token_files": token_files.op6_token_files,
+    "op7_quality": quality.op7_quality,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality": quality.OP7_SQL, "op4_mixing": mixing.OP4_SQL, "op9_url_filter": urls.OP9_SQL}
