@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, media, mixing, quality, token_files, tokens, urls
+from tidewatch.llm import bpe, html_text, media, mixing, quality, token_files, tokens, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
+    "op5_html_text": html_text.op5_html_text,
     "op6_token_files": token_files.op6_token_files,
     "op7_quality": quality.op7_quality,
     "op9_url_filter": urls.op9_url_filter,
