@@ -1,0 +1,28 @@
+"""Connected components of a link table by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewatch.llm.common import saved
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, label (the least node of its component) for links a, b (long).
+
+    Each round takes the least label among neighbours, then follows labels once; it is written to the
+    shared folder, so rounds don't pile up in the lineage.  Nodes without links don't appear.
+    """
+    both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    while True:
+        seen = labels.select(F.col("node").alias("b"), F.col("label").alias("theirs"))
+        near = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        step = saved(step)
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        after = saved(step.join(up, "label").select("node", F.least("label", "top").alias("label"), "was"))
+        if not after.where("label < was").limit(1).count():
+            return after.select("node", "label")
+        labels = after.select("node", "label")
