@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, html_text, jaccard, media, mixing, quality, token_files, tokens, urls
+from tidewatch.llm import bpe, html_text, jaccard, media, mixing, pitman_yor, quality, token_files, tokens, urls
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
     "op5_html_text": html_text.op5_html_text,
