@@ -39,10 +39,10 @@ def match_nearest(detections: DataFrame, ais: DataFrame, radius_km: float = P.AI
     near = F.explode(F.expr("flatten(transform(array(-1L, 0L, 1L), x -> transform(array(-1L, 0L, 1L), y -> struct(x as dx, y as dy))))"))
     sane = ais.where(F.abs("lat") <= max_abs_lat).where(~F.isnan("lon"))
     spread = sane.select("ais_seq", F.col("lat").alias("alat"), F.col("lon").alias("alon"), "vessel_id", "vessel_name", "flag", near.alias("n"))
-    spread = spread.withColumns({"cy": cell(F.col("alat"), dlat) + F.col("n.dy"), "cx": cell(F.col("alon"), dlon) + F.col("n.dx")}).drop("n")
+    spread = spread.withColumns({"__ay": cell(F.col("alat"), dlat) + F.col("n.dy"), "__ax": cell(F.col("alon"), dlon) + F.col("n.dx")}).drop("n")
     placed = detections.withColumns({"__cy": cell(F.col("lat"), dlat), "__cx": cell(F.col("lon"), dlon)})
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
-    joined = placed.join(spread, (F.col("__cy") == F.col("cy")) & (F.col("__cx") == F.col("cx")) & (km <= radius_km), "left")
+    joined = placed.join(spread, (F.col("__cy") == F.col("__ay")) & (F.col("__cx") == F.col("__ax")) & (km <= radius_km), "left")
     found = F.when(F.col("ais_seq").isNotNull(), F.struct(F.round(km, 9).alias("km"), "ais_seq", "vessel_id", "vessel_name", "flag"))
     rest = [c for c in detections.columns if c != "det_id"]
     best = joined.groupBy("det_id").agg(*[F.first(c).alias(c) for c in rest], F.min(found).alias("best"))
