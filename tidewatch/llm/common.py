@@ -111,7 +111,7 @@ class ChunkMemo:
         new: set[str] = set()
         for p in parts:
             new.update(p)
-        new -= self.memo.keys()
+        new = new.difference(self.memo)
         get = self.memo.__getitem__
         fresh = list(new)
         self.memo.update(zip(fresh, self.encode_many([c[1:] if c[:1] == " " else " " + c for c in fresh]), strict=True))
@@ -120,3 +120,31 @@ class ChunkMemo:
         for c in fresh:
             if len(c) > 64:
                 del self.memo[c]
+
+
+class LiveMemo(dict):
+    """Remembers what single chunks are encoded to; when full it keeps what the last texts used."""
+
+    def __init__(self, encode_one: Callable[[str], object], limit: int = 400_000):
+        super().__init__()
+        self.encode_one, self.limit = encode_one, limit
+
+    def __missing__(self, chunk: str) -> object:
+        got = self.encode_one(chunk[1:] if chunk[:1] == " " else " " + chunk)
+        if len(chunk) <= 64:
+            self[chunk] = got
+        return got
+
+    def texts(self, texts: list[str]) -> Iterator[list]:
+        """For each text its chunks' values, in order."""
+        parts = []
+        get = self.__getitem__
+        for t in texts:
+            p = chunks(t)
+            p[0] = " " + p[0]  # marks the chunk that no space stands before: others never start with one
+            parts.append(p)
+            yield list(map(get, p))
+        if len(self) > self.limit:
+            used = {c: self[c] for p in parts for c in p if c in self}
+            self.clear()
+            self.update(used)

@@ -13,6 +13,10 @@ Signatures shared by more than HOT sets (a passage that many documents hold, or
 copies) are not paired up.  As a linked pair shares h + 1, it is found by the others unless all of a
 set's spare signatures are hot; such sets also meet the sets of their hot signatures.
 
+Each set has a sketch of 512 bits: the parity of its elements in 512 cells.  Two sketches differ in at
+most as many bits as the sets do in elements, so a pair whose sketches (or sizes) differ by too much is
+dropped before its sets are fetched; no linked pair is.
+
 Candidates are checked in two rounds, so that a group of copies costs no pair of each two.  First each
 set meets the few sets with most signatures in common among those that lead a signature (the ones
 with most shared signatures: the original in a group of copies).  Links give components, and then
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import lower_words, row_groups, saved, table
@@ -41,8 +45,10 @@ from tidewatch.llm.graph import components
 
 WORDS = 5
 HOT = 24
-LEADERS = 4
-FLUSH = 4_000_000
+LEADERS = 3
+FLUSH = 1_500_000
+#: Columns of a set's sketch.
+SKETCH = [f"k{i}" for i in range(8)]
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct 5-gram hashes of texts; word hashes are remembered, up to a number."""
 
-    def __init__(self, words: int = WORDS, limit: int = 400_000):
+    def __init__(self, words: int = WORDS, limit: int = 250_000):
         self.words, self.limit, self.memo = words, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -69,7 +75,7 @@ class Shingles:
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
-        for x in set(w) - memo.keys():
+        for x in set(w).difference(memo):
             memo[x] = xxhash.xxh64_intdigest(x)
         h = np.array(list(map(memo.__getitem__, w)), np.uint64)
         n = len(h) - self.words + 1
@@ -89,6 +95,19 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 4 * both >= 3 * (len(a) + len(b) - both)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Eight 64-bit numbers: the parities of the set's elements in 512 cells."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near(a: str, b: str) -> Column:
+    """May the sets of columns a and b (structs of n and the sketch) link, by their sizes and sketches."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    bits = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in SKETCH), F.lit(0))
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * bits <= na + nb)
+
+
 def _signed(s: np.ndarray, level: int, reach: int, own: int) -> tuple[list[np.ndarray], int]:
     """Signatures of a set of size own for a band, when its partners have at most reach elements, and how many
     a partner must share."""
@@ -126,7 +145,7 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), least
 
 
-_DOC = 5  # doc_id, whether it is null, node, set size, least shared
+_DOC = 13  # doc_id, whether it is null, node, set size, least shared, sketch
 
 
 def sign(docs: DataFrame, buckets: int) -> DataFrame:
@@ -163,7 +182,7 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
                             sigs.append(sig)
                             nodes.append((node, len(sig)))
                             held += len(sig)
-                    info.append((d or 0, d is None, node, len(s), least))
+                    info.append((d or 0, d is None, node, len(s), least, *sketch(s).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array([info[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(info, np.int64).tobytes()], pa.binary())], ["bucket", "sigs", "nodes", "docs"])
                 if held > FLUSH:
                     yield flush()
@@ -174,7 +193,7 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket long, sigs binary, nodes binary, docs binary")
 
 
-_MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int"
+_MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH)
 
 
 def meet(signed: DataFrame, partitions: int) -> DataFrame:
@@ -191,7 +210,7 @@ def meet(signed: DataFrame, partitions: int) -> DataFrame:
                 if d.is_valid:
                     x = np.frombuffer(d.as_buffer(), np.int64).reshape(-1, _DOC)
                     void = pa.nulls(len(x), pa.int64())
-                    yield pa.RecordBatch.from_arrays([void, pa.array(x[:, 2]), void.cast(pa.int32()), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([void, pa.array(x[:, 2]), void.cast(pa.int32()), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(5, _DOC))], names)
                 else:
                     sigs.append(np.frombuffer(s.as_buffer(), np.int64))
                     nodes.append(np.frombuffer(n.as_buffer(), np.int64))
@@ -217,7 +236,7 @@ def meet(signed: DataFrame, partitions: int) -> DataFrame:
             s, n, shared = s[shared > 1], n[shared > 1], shared[shared > 1].astype(np.int32)
         for lo in range(0, len(s), 100_000):
             m = len(s[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 8], names)
 
     return signed.repartition(partitions, "bucket").mapInArrow(run, _MET)
 
@@ -279,42 +298,45 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links_checked are not all kept: one row per document with its class."""
+    """doc_id, n_shingles, component_id for every document."""
     spark = docs.sparkSession
     partitions = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
-    known = met.where("sig is null").select("node", "doc_id", "n_shingles", "least")
+    known = met.where("sig is null").select("node", "doc_id", "n_shingles", "least", *SKETCH)
     shared = met.where("sig is not null").select("sig", "node", "shared")
 
-    # How often a node shares a signature, and how many of its signatures are hot.
-    least = known.where("least > 0").groupBy("node").agg(F.min("least").alias("least"))
+    # How often a node shares a signature, how many of its signatures are hot, and what it looks like.
+    look = F.struct(F.col("n_shingles").alias("n"), *SKETCH)
+    least = known.where("least > 0").groupBy("node").agg(F.min(F.struct("least", look.alias("look"))).alias("m")).select("node", "m.least", "m.look")
     nodes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("shared") > HOT).alias("hot"))
-    nodes = saved(nodes.join(least, "node").withColumn("dense", F.col("least") <= F.col("hot")))
+    nodes = saved(nodes.join(least, "node").withColumn("spare", F.col("least") - F.col("hot")))
 
     # Round one: the leader of a signature is its node with most shared signatures.
     rich = shared.join(nodes.select("node", "degree"), "node")
     lead = rich.groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
     met_leaders = shared.join(lead, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("node").orderBy(F.desc("n"), "leader")
-    enough = met_leaders.join(nodes.select("node", "least", "dense"), "node").where(F.col("dense") | (F.col("n") >= F.least("least", F.lit(2))))
-    first = saved(enough.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    looks = nodes.select("node", "look", "spare")
+    fit = met_leaders.join(looks, "node").join(looks.select(F.col("node").alias("leader"), F.col("look").alias("look2"), F.col("spare").alias("spare2")), "leader")
+    fit = fit.where(near("look", "look2") & (F.col("n") >= F.least("spare", "spare2")))
+    first = saved(fit.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     links = saved(checked(first, sets_of(docs, first.select(F.col("a").alias("node")).union(first.select("b")), known)))
     part = components(links)
 
     # Round two: candidates of different components.
     placed = shared.join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = placed.join(nodes.select("node", "least", "hot", "dense"), "node")
     several = placed.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig")
-    open_ = saved(placed.join(several, "sig", "left_semi"))
+    open_ = saved(placed.join(several, "sig", "left_semi").join(looks, "node"))
+    side = lambda rows, k: rows.select("sig", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "spare", "look")])
+    apart = (F.col("label_a") != F.col("label_b")) & near("look_a", "look_b")
     cold = open_.where(F.col("shared") <= HOT)
-    x = cold.select("sig", F.col("node").alias("a"), F.col("label").alias("la"), (F.col("least") - F.col("hot")).alias("na"))
-    y = cold.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), (F.col("least") - F.col("hot")).alias("nb"))
-    pairs = x.join(y, "sig").where("a < b and la <> lb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("na"), F.min("nb")).alias("need"))
+    pairs = side(cold, "a").join(side(cold, "b"), "sig").where((F.col("node_a") < F.col("node_b")) & apart)
+    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.least(F.min("spare_a"), F.min("spare_b")).alias("need"))
     pairs = pairs.where("n >= need").select("a", "b")
+    # Where all spare signatures are hot, the hot ones count.
     warm = open_.where(F.col("shared") > HOT)
-    x = warm.where("dense").select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = warm.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    dense = x.join(y, "sig").where("a <> b and la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dense = side(warm.where("spare <= 0"), "a").join(side(warm, "b"), "sig").where((F.col("node_a") != F.col("node_b")) & apart)
+    dense = dense.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     second = saved(pairs.union(dense).distinct().join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         more = checked(second, sets_of(docs, second.select(F.col("a").alias("node")).union(second.select("b")), known))
