@@ -7,12 +7,14 @@ library's encode_batch() is tested.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import regex
 
+from tidewatch.llm.common import LiveMemo
+
 #: The pattern of byte-level pre-tokenizers (public_tokenizers.PATTERN), with white space spelt out as the libraries have it.
 SPACES = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -26,32 +28,35 @@ def byte_chars() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes chunks to little-endian 32-bit ids."""
+def chunk_encoder(path: str) -> Callable[[str], bytes]:
+    """Encodes a chunk to little-endian 32-bit ids."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    tokenize = Tokenizer.from_file(path).model.tokenize
     chars = byte_chars()
+    memo: dict[str, bytes] = {}
 
-    def piece(p: str) -> list[int]:
-        return [t.id for t in model.tokenize(p.encode("utf-8", "replace").decode("latin-1").translate(chars))]
-
-    memo: dict[str, list[int]] = {}
+    def piece(p: str) -> bytes:
+        tokens = tokenize(p if p.isascii() and p.isalpha() else p.encode("utf-8", "replace").decode("latin-1").translate(chars))
+        return array("I", [t.id for t in tokens]).tobytes()
 
-    def encode(new: list[str]) -> list[bytes]:
-        if len(memo) > 100_000:
-            memo.clear()
+    def encode(c: str) -> bytes:
+        if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
+            return piece(c)
         out = []
-        for c in new:
-            ids: list[int] = []
-            for p in (c,) if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else PIECES.findall(c):
-                got = memo.get(p)
-                if got is None:
-                    got = piece(p)
-                    if len(p) < 12:
-                        memo[p] = got
-                ids += got
-            out.append(np.array(ids, "<u4").tobytes())
-        return out
+        for p in PIECES.findall(c):
+            got = memo.get(p)
+            if got is None:
+                got = piece(p)
+                if len(p) < 12 and len(memo) < 50_000:
+                    memo[p] = got
+            out.append(got)
+        return b"".join(out)
 
     return encode
+
+
+@lru_cache(maxsize=2)
+def chunk_memo(path: str) -> LiveMemo:
+    """The worker's memo of chunks' ids; tasks share it."""
+    return LiveMemo(chunk_encoder(path))

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ChunkMemo, row_groups, saved, shared_dir, table
-from tidewatch.llm.library_bpe import chunk_encoder
+from tidewatch.llm.common import row_groups, saved, shared_dir, table
+from tidewatch.llm.library_bpe import chunk_memo
 
 FILE_SCHEMA = "doc_id long, file_row long, ids array<int>"
 
@@ -29,7 +29,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encodes doc_id, text to ORC files at path, ascending by doc_id over and within the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = ChunkMemo(chunk_encoder(tokenizer_path))
+        memo = chunk_memo(tokenizer_path)
         end, row = np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -13,13 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ChunkMemo, row_groups, table
-from tidewatch.llm.library_bpe import chunk_encoder
+from tidewatch.llm.common import row_groups, table
+from tidewatch.llm.library_bpe import chunk_memo
 
 #: Lengths of one block of the two-level suffix sums.
 BLOCK = 1024
@@ -29,14 +28,13 @@ def length_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     """n_tokens, n_docs: each task counts its own texts, and the counts are added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(tokenizer_path)
-        memo = ChunkMemo(lambda new: [len(x) // 4 for x in encode(new)])
+        memo = chunk_memo(tokenizer_path)
         seen: dict[int, int] = {}
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for lo, hi in row_groups(map(len, texts)):
                 for counts in memo.texts(texts[lo:hi]):
-                    n = sum(counts)
+                    n = sum(map(len, counts)) // 4
                     seen[n] = seen.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 
