@@ -48,3 +48,26 @@ def display(df: DataFrame, *keep: str) -> DataFrame:
         text("matched_flag").alias("flag"),
         _col(df, "ais_distance_km").alias("ais_distance_km"),
     )
+
+
+#: Colours and radii of dark and matched vessels on a map.
+DARK, MATCHED = ("#FF4444", 7), ("#22C55E", 6)
+
+
+def markers(df: DataFrame, *keep: str) -> DataFrame:
+    """What a map shows for each row with a position: place, colour, radius and texts."""
+    dark = F.coalesce(_col(df, "dark_vessel", "boolean"), F.lit(True))
+    kind = F.coalesce(_col(df, "vessel_class", "string"), F.lit("unknown"))
+    metres = F.format_string("%.0f m", F.round(F.coalesce(_col(df, "length_m"), F.lit(0.0)), 0))
+    named = lambda c: F.coalesce(F.when(_col(df, c, "string") != "", _col(df, c, "string")), F.lit("—"))
+    return df.where("lat is not null and lon is not null").select(
+        *keep,
+        "lat",
+        "lon",
+        F.when(dark, DARK[0]).otherwise(MATCHED[0]).alias("colour"),
+        F.when(dark, DARK[1]).otherwise(MATCHED[1]).alias("radius"),
+        F.concat_ws(" · ", F.when(dark, "DARK").otherwise("MATCHED"), kind, metres).alias("label"),
+        F.coalesce(F.format_string("%.2f", F.round(_col(df, "conf"), 2)), F.lit("n/a")).alias("conf_text"),
+        named("matched_vessel_id").alias("mmsi"),
+        named("matched_vessel_name").alias("name"),
+    )

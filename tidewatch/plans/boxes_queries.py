@@ -108,3 +108,10 @@ def fbeta(spark, d):
 @query(f"{X.with_(box=X.BOXES)} select id, conf from box where conf >= 0.25")
 def conf_filter(spark, d):
     return X.view(spark, d, X.BOXES).where(F.col("conf") >= 0.25).select("id", "conf")
+
+
+@query(f"{X.with_(box=X.BOXES)} select k / 49.0::double as threshold, count(*) as n from box, (select unnest(range(50)) as k) where conf >= k / 49.0::double group by k")
+def predictions_by_threshold(spark, d):
+    p, t = _boxes(spark, d)
+    swept = evaluation.sweep(p, t)
+    return swept.select("threshold", (F.col("tp") + F.col("fp")).alias("n")).where("n > 0")

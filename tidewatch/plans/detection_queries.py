@@ -302,3 +302,10 @@ def safe_measurements(spark, d):
 def missing_outputs(spark, d):
     have = X.table(spark, d, "lineitem").where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("o_orderkey"))
     return readers.missing_outputs(X.table(spark, d, "orders").select("o_orderkey"), have, "o_orderkey")
+
+
+@query(f"""{SIZED} select det_id, lat, lon, '#FF4444' as colour, 7 as radius, concat('DARK · ', {CLASS}, ' · ', printf('%.0f m', round(length_m, 0))) as label, case when conf is null then 'n/a' else printf('%.2f', round(conf, 2)) end as conf_text, '—' as mmsi, '—' as name from sized""")
+def map_markers(spark, d):
+    rows = _sized(spark, d)
+    shown = geojson.markers(rows, "det_id", "conf")
+    return shown.withColumn("conf_text", F.when(F.col("conf").isNull(), "n/a").otherwise(F.col("conf_text"))).drop("conf")

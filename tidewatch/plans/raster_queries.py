@@ -179,3 +179,12 @@ def detect_scene_e2e(spark, d):
 
     px = X.long_pixels(X.view(spark, d, X.PIXELS))
     return detect(px, X.scene_meta(spark, ["A"], 50, 100_000), pfa=1e-5)
+
+
+@query(f"""{X.with_(wide=X.PIXELS)}, b as (select k as det_id, k * 2 + 1 as x, k * 3 as y from (select unnest(range(64)) as k))
+select det_id, row, col, vv from b join wide on row >= y - 4 and row < y + 4 and col >= x - 4 and col < x + 4""")
+def detection_crops(spark, d):
+    """Pixels around the first 64 boxes: that many are shown."""
+    k = F.col("id")
+    boxes = spark.range(80).select(k.alias("det_id"), F.lit("A").alias("scene"), *[F.lit(None).cast("double").alias(c) for c in ("cx", "cy")], (2 * k).alias("x1"), (2 * k + 2).alias("x2"), (3 * k - 1).alias("y1"), (3 * k + 1).alias("y2"))
+    return raster.crops(boxes, X.view(spark, d, X.PIXELS), side=8).select("det_id", "row", "col", "vv")
