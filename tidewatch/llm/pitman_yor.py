@@ -43,7 +43,7 @@ from tidewatch.llm.common import lower_words, saved, table
 #: The end token: no word holds white space.
 END = b"\n"
 FREQUENT = 300_000
-MAX_ROWS = 4_000_000
+MAX_ROWS = 1_000_000
 SWEEPS, BURN_IN, MOVES, STEPS = 3, 1, 8, 64
 THETA = 1.0
 #: Bits of the context key up to each depth: one byte, two, and 4 and 2 bits of hashes of the third and fourth.
