@@ -15,7 +15,8 @@ set's spare signatures are hot; such sets also meet the sets of their hot signat
 
 Each set has a sketch of 512 bits: the parity of its elements in 512 cells.  Two sketches differ in at
 most as many bits as the sets do in elements, so a pair whose sketches (or sizes) differ by too much is
-dropped before its sets are fetched; no linked pair is.
+dropped; no linked pair is.  Pairs that pass meet finer sketches, of at least four cells an element, and
+then the sets, so few sets are moved but those of links.
 
 Candidates are checked in two rounds, so that a group of copies costs no pair of each two.  First each
 set meets the few sets with most signatures in common among those that lead a signature (the ones
@@ -45,7 +46,7 @@ from tidewatch.llm.graph import components
 
 WORDS = 5
 HOT = 24
-LEADERS = 3
+LEADERS = 4
 FLUSH = 1_500_000
 #: Columns of a set's sketch.
 SKETCH = [f"k{i}" for i in range(8)]
@@ -101,6 +102,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(s: np.ndarray) -> bytes:
+    """Parities in a power of two of cells, four or more an element; an element's cell is its hash's low bits."""
+    cells = max(512, 1 << (4 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, total: int) -> bool:
+    """May two sets with so many elements together link, by their fine sketches; the larger one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
+    return 7 * int(np.bitwise_count(x ^ y).sum()) <= total
+
+
 def near(a: str, b: str) -> Column:
     """May the sets of columns a and b (structs of n and the sketch) link, by their sizes and sketches."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -145,11 +161,11 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), least
 
 
-_DOC = 13  # doc_id, whether it is null, node, set size, least shared, sketch
+_DOC = 13  # columns: doc_id, whether it is null, node, set size, least shared, sketch
 
 
 def sign(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket and packed arrays: signatures with their nodes, or rows about documents."""
+    """bucket and packed arrays: signatures with their nodes, or rows about documents with their fine sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingles(), set()
@@ -165,12 +181,12 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
             s, node, b = s[order], node[order], b[order]
             at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             ends = np.r_[at[1:], len(b)]
-            return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([s[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([node[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.nulls(len(at), pa.binary())], ["bucket", "sigs", "nodes", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([s[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([node[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.binary()))], ["bucket", "sigs", "nodes", "docs", "fine"])
 
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for lo, hi in row_groups(len(t or "") for t in texts):
-                info = []
+                info, fine = [], []
                 for d, t in zip(ids[lo:hi], texts[lo:hi]):
                     s = shingle(t)
                     node, least = node_of(s), 0
@@ -182,18 +198,19 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
                             sigs.append(sig)
                             nodes.append((node, len(sig)))
                             held += len(sig)
+                    fine.append(fine_sketch(s) if least > 0 else None)
                     info.append((d or 0, d is None, node, len(s), least, *sketch(s).tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([info[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(info, np.int64).tobytes()], pa.binary())], ["bucket", "sigs", "nodes", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([info[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(info, np.int64).tobytes()], pa.binary()), pa.array([fine], pa.list_(pa.binary()))], ["bucket", "sigs", "nodes", "docs", "fine"])
                 if held > FLUSH:
                     yield flush()
                     sigs, nodes, held = [], [], 0
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket long, sigs binary, nodes binary, docs binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket long, sigs binary, nodes binary, docs binary, fine array<binary>")
 
 
-_MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH)
+_MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH) + ", fine binary"
 
 
 def meet(signed: DataFrame, partitions: int) -> DataFrame:
@@ -206,11 +223,11 @@ def meet(signed: DataFrame, partitions: int) -> DataFrame:
         sigs, nodes = [], []
         names = [x.split()[0] for x in _MET.split(", ")]
         for b in batches:
-            for s, n, d in zip(b.column(1), b.column(2), b.column(3), strict=True):
+            for s, n, d, fine in zip(b.column(1), b.column(2), b.column(3), b.column(4), strict=True):
                 if d.is_valid:
                     x = np.frombuffer(d.as_buffer(), np.int64).reshape(-1, _DOC)
                     void = pa.nulls(len(x), pa.int64())
-                    yield pa.RecordBatch.from_arrays([void, pa.array(x[:, 2]), void.cast(pa.int32()), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(5, _DOC))], names)
+                    yield pa.RecordBatch.from_arrays([void, pa.array(x[:, 2]), void.cast(pa.int32()), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(5, _DOC)), pa.array(fine.as_py(), pa.binary())], names)
                 else:
                     sigs.append(np.frombuffer(s.as_buffer(), np.int64))
                     nodes.append(np.frombuffer(n.as_buffer(), np.int64))
@@ -236,7 +253,7 @@ def meet(signed: DataFrame, partitions: int) -> DataFrame:
             s, n, shared = s[shared > 1], n[shared > 1], shared[shared > 1].astype(np.int32)
         for lo in range(0, len(s), 100_000):
             m = len(s[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 8], names)
+            yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 8, pa.nulls(m, pa.binary())], names)
 
     return signed.repartition(partitions, "bucket").mapInArrow(run, _MET)
 
@@ -285,6 +302,19 @@ def sets_of(docs: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
     return saved(chosen.select("node", "set").groupBy("node").agg(F.first("set").alias("set")))
 
 
+def sketched(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs a, b whose fine sketches (node, n, fine) allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_link(x, y, n) for x, y, n in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (fine.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}")) for k in "ab")
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return joined.select("a", "b", "fa", "fb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
+
+
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b that link."""
 
@@ -302,7 +332,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
-    known = met.where("sig is null").select("node", "doc_id", "n_shingles", "least", *SKETCH)
+    known = met.where("sig is null").select("node", "doc_id", "n_shingles", "least", *SKETCH, "fine")
     shared = met.where("sig is not null").select("sig", "node", "shared")
 
     # How often a node shares a signature, how many of its signatures are hot, and what it looks like.
@@ -311,6 +341,9 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("shared") > HOT).alias("hot"))
     nodes = saved(nodes.join(least, "node").withColumn("spare", F.col("least") - F.col("hot")))
 
+    fine = known.where("fine is not null").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fine").alias("fine"))
+    fine = saved(fine)
+
     # Round one: the leader of a signature is its node with most shared signatures.
     rich = shared.join(nodes.select("node", "degree"), "node")
     lead = rich.groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
@@ -319,7 +352,11 @@ def classes(docs: DataFrame) -> DataFrame:
     looks = nodes.select("node", "look", "spare")
     fit = met_leaders.join(looks, "node").join(looks.select(F.col("node").alias("leader"), F.col("look").alias("look2"), F.col("spare").alias("spare2")), "leader")
     fit = fit.where(near("look", "look2") & (F.col("n") >= F.least("spare", "spare2")))
-    first = saved(fit.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    fit = saved(fit.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("node", "leader", "k"))
+    able = sketched(fit.select(F.col("node").alias("a"), F.col("leader").alias("b")), fine)
+    # of those that their sketches allow the best one: nearly always a link
+    able = able.join(fit, (F.col("a") == F.col("node")) & (F.col("b") == F.col("leader"))).groupBy("node").agg(F.min_by("leader", "k").alias("leader"))
+    first = saved(able.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     links = saved(checked(first, sets_of(docs, first.select(F.col("a").alias("node")).union(first.select("b")), known)))
     part = components(links)
 
@@ -337,7 +374,7 @@ def classes(docs: DataFrame) -> DataFrame:
     warm = open_.where(F.col("shared") > HOT)
     dense = side(warm.where("spare <= 0"), "a").join(side(warm, "b"), "sig").where((F.col("node_a") != F.col("node_b")) & apart)
     dense = dense.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    second = saved(pairs.union(dense).distinct().join(first, ["a", "b"], "left_anti"))
+    second = saved(sketched(pairs.union(dense).distinct().join(first, ["a", "b"], "left_anti"), fine))
     if second.limit(1).count():
         more = checked(second, sets_of(docs, second.select(F.col("a").alias("node")).union(second.select("b")), known))
         part = components(links.union(more))
