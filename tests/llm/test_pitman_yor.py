@@ -1,10 +1,12 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from helpers import SF
+from pyspark.sql import functions as F
 
 from tidewatch.llm import pitman_yor as M
 
@@ -100,3 +102,18 @@ def test_depth_is_cut_to_fit(spark):
     cut, less = M.bounded(counts, most=40)
     assert depth == 4 and less < 4 and cut.num_rows <= 40
     assert sum(cut["n"].to_pylist()) == sum(whole["n"].to_pylist()) == sum(len(f"word{i}") + 1 for i in range(300))
+
+
+def test_random_strings_score_below_prose(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    prose = max((r["text"] or "" for r in docs.collect() if M.held_out(r["doc_id"])), key=len).split()[:200]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in w) for w in (x + "xxxx" for x in prose)]
+    a, b = [i for i in range(10**6, 10**6 + 200) if M.held_out(i)][:2]
+    rows = spark.createDataFrame([(a, " ".join(prose)), (b, " ".join(junk)), (b, "z" * 5000)], "doc_id long, text string")
+    both = docs.unionByName(rows)
+    got = M.score(both, M.train(both)).where(F.col("doc_id").isin(a, b)).collect()
+    by = {(r["doc_id"], r["n_tokens"]): r for r in got}
+    assert by[b, 201]["n_known"] < 20
+    assert by[b, 201]["score"] < by[a, 201]["score"]
+    assert math.isfinite(by[b, 2]["score"]) and by[b, 2]["score"] < -1000

@@ -4,8 +4,8 @@ Words are customers of one restaurant; its tables order words from a spelling mo
 restaurants are contexts of up to four bytes before a byte.  A context's parent is the context
 without its oldest byte, shared with all that differ in that byte alone; the root's base is uniform
 over bytes.  (The two oldest bytes are told apart up to a hash, so the contexts are at most
-2**16 * 16 * 4, whatever the corpus.)  Words that training lacks are one class, as in the base score:
-it has all the probability that the model leaves to spellings not seen.
+2**16 * 16 * 4, whatever the corpus.)  Every word has probability, seen or not: one that training lacks
+has what the word restaurant leaves to new tables, times its own spelling's.
 
 Seating is sampled by Gibbs sweeps.  A sweep takes each dish of a restaurant in turn: its customers
 leave and sit down again one by one (a new table with weight (theta + d T) P, a table of n customers
@@ -303,10 +303,10 @@ def _word_prob(c: str, t: str, lg: str, d: float, tables: int, n: int) -> str:
 
 @dataclass
 class WordModel:
-    words: DataFrame  #: word, c, p (averaged predictive probability; of the class where c is 0)
+    words: DataFrame  #: word, c, p (averaged predictive probability), lp (its log10, finite where p is too small for a double)
     n: int  #: training tokens
     v: int  #: distinct ones
-    unknown: float  #: probability of a word that training lacks
+    unknown: float  #: probability of all spellings that training lacks together
 
 
 def train(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 7) -> WordModel:
@@ -314,7 +314,7 @@ def train(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: i
     words = saved(count_words(docs))
     n, v, one, two = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     d = float(np.clip(one / max(1, one + 2 * two), 0.1, 0.9))
-    state = words.where("c > 0").select("word", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("lg"), F.lit(0.0).alias("p"))
+    state = words.select("word", "c", (F.col("c") > 0).cast("long").alias("t"), F.lit(0.0).alias("lg"), F.lit(0.0).alias("p"), F.lit(float("-inf")).alias("lq"))
     tables, model, unknown = v, UNIFORM, 0.0
     for sweep in range(sweeps):
         counts, depth = bounded(spelling_counts(state))
@@ -325,24 +325,29 @@ def train(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: i
         def run(batches: Iterator[pa.RecordBatch], held=held, total=total, sweep=sweep) -> Iterator[pa.RecordBatch]:
             for b in _blocks(batches):
                 lg = held.value.log_words(*spell(b.column("word").to_pylist()))
-                c, t = b.column("c").to_numpy(), b.column("t").to_numpy()
+                c, t = b.column("c").to_numpy(), b.column("t").to_numpy().copy()
+                some = np.flatnonzero(c > 0)
                 rng = np.random.default_rng([seed, sweep, zlib.crc32(b.column("word")[0].as_py()), len(c)])
-                t = seat(c, total - t, d, np.exp(lg), rng)
-                yield from pa.table([b.column("word"), b.column("c"), pa.array(t), pa.array(lg), b.column("p")], ["word", "c", "t", "lg", "p"]).to_batches()
+                if len(some):
+                    t[some] = seat(c[some], total - t[some], d, np.exp(lg[some]), rng)
+                yield from pa.table([b.column("word"), b.column("c"), pa.array(t), pa.array(lg), b.column("p"), b.column("lq")], ["word", "c", "t", "lg", "p", "lq"]).to_batches()
 
-        state = saved(state.mapInArrow(run, "word binary, c long, t long, lg double, p double"))
-        tables, mass = state.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.exp("lg")), F.lit(0.0))).first()
+        state = saved(state.mapInArrow(run, "word binary, c long, t long, lg double, p double, lq double"))
+        tables, mass = state.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("c") > 0, F.exp("lg"))), F.lit(0.0))).first()
         if sweep >= burn_in:
-            state = state.withColumn("p", F.col("p") + F.expr(_word_prob("c", "t", "lg", d, tables, n)))
+            new = F.col("lg") + float(np.log((THETA + d * tables) / (THETA + n)))
+            high, low = F.greatest("lq", new), F.least("lq", new)
+            state = state.withColumns({"p": F.col("p") + F.expr(_word_prob("c", "t", "lg", d, tables, n)), "lq": high + F.log1p(F.exp(low - high))})
             unknown += (THETA + d * tables) / (THETA + n) * max(1 - mass, 1e-9) / (sweeps - burn_in)
-    known = state.select("word", "c", (F.col("p") / (sweeps - burn_in)).alias("p"))
-    return WordModel(saved(known.union(words.where("c = 0").select("word", "c", F.lit(unknown)))), n, v, unknown)
+    p = F.col("p") / (sweeps - burn_in)
+    spelled = (F.col("lq") - float(np.log(sweeps - burn_in))) / float(np.log(10))
+    return WordModel(saved(state.select("word", "c", p.alias("p"), F.when(F.col("c") > 0, F.log10(p)).otherwise(spelled).alias("lp"))), n, v, unknown)
 
 
 def score(docs: DataFrame, model: WordModel, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    values = model.words.select("word", (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 0.1) / (model.n + 0.1 * (model.v + 1))).alias("base"), F.log10("p").alias("lp"), "c")
+    values = model.words.select("word", (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 0.1) / (model.n + 0.1 * (model.v + 1))).alias("base"), "lp", "c")
     # Counts fall into eighths of octaves (a few hundred at most); the top ones that together have few enough words are sent.
     octave = F.floor(F.log2("c") * 8)
     size = values.where("c > 0").groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("o")).collect()
