@@ -117,3 +117,31 @@ def test_random_strings_score_below_prose(spark):
     assert by[b, 201]["n_known"] < 20
     assert by[b, 201]["score"] < by[a, 201]["score"]
     assert math.isfinite(by[b, 2]["score"]) and by[b, 2]["score"] < -1000
+
+
+def test_order_of_words_counts(spark):
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(30)]
+    follows = {x: rng.sample(names, 2) for x in names}
+
+    def walk(k):
+        out = [rng.choice(names)]
+        while len(out) < k:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    test = walk(100)
+    a, b = [i for i in range(10**6, 10**6 + 200) if M.held_out(i)][:2]
+    docs = spark.createDataFrame([(i, " ".join(walk(60))) for i in range(60)] + [(a, " ".join(test)), (b, " ".join(rng.sample(test, 100)))], "doc_id long, text string")
+    model = M.train(docs)
+    by = {r["doc_id"]: r for r in M.score(docs, model).collect() if r["doc_id"] in (a, b)}
+    assert by[a]["base_score"] == pytest.approx(by[b]["base_score"])
+    assert by[a]["score"] > by[b]["score"] + 30
+    # after each word, the known words' probabilities and what is left to unknown ones sum to one
+    words = {r["id"]: r for r in model.words.collect()}
+    own = Counter()
+    for r in model.pairs.collect():
+        own[r["u"]] += r["own"]
+    for u, r in words.items():
+        left = sum(r[f"b{s}"] for s in range(model.kept)) / model.kept
+        assert own[u] / (M.THETA + r["c"]) + left == pytest.approx(1.0)

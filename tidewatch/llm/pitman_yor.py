@@ -1,7 +1,8 @@
-"""Hierarchical Pitman-Yor model of words, with a spelling model as base, used for perplexity.
+"""Hierarchical Pitman-Yor model of words after words, with a spelling model as base, used for perplexity.
 
-Words are customers of one restaurant; its tables order words from a spelling model, whose
-restaurants are contexts of up to four bytes before a byte.  A context's parent is the context
+Words are customers of the restaurant of the word before them (the end token stands before the first).
+The tables of these restaurants are customers of one that all share, the words' own; its tables order
+words from a spelling model, whose restaurants are contexts of up to four bytes before a byte.  A context's parent is the context
 without its oldest byte, shared with all that differ in that byte alone; the root's base is uniform
 over bytes.  (The two oldest bytes are told apart up to a hash, so the contexts are at most
 2**16 * 16 * 4, whatever the corpus.)  Every word has probability, seen or not: one that training lacks
@@ -15,11 +16,14 @@ customers the times at which tables open are drawn directly, and the tables' siz
 beta-binomial given those, so that time grows with tables and not with customers.  A word's predictive
 probability is averaged over the sweeps kept.
 
-Counts cover all training documents: words are counted by shuffles, the word restaurant's dishes stay
-distributed, and the spelling contexts (a table of bounded size, see MAX_ROWS) are seated on the driver.
+Counts cover all training documents: words and pairs of words are counted by shuffles, the dishes of
+the word restaurants stay distributed, and the spelling contexts (a table of bounded size, see MAX_ROWS) are seated on the driver.
 
-Documents are scored in place with the FREQUENT most frequent words; for the others, each
-occurrence is joined with the table of all words.
+A pair seen once has one table in any seating, so only pairs seen more often are seated.  In joins
+words and pairs are named by 64-bit hashes; two of 10^7 words share one with a chance of about 3 in 10^6.
+
+Documents are scored in place with the FREQUENT most frequent pairs; for the others, each
+occurrence is joined with the table of all pairs.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as an empty text
 for the split; repeated rows are scored (and counted) each; an empty table gives no rows; extra
@@ -31,7 +35,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +263,70 @@ def count_words(docs: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Names(dict):
+    """Words' 64-bit names, remembered; the same as Spark's xxhash64."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        x = xxhash.xxh64_intdigest(word, 42)
+        self[word] = x = x - 2**64 if x >= 2**63 else x
+        return x
+
+    def pairs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """key, word before and word of each token of a text, the end token being the last."""
+        if len(self) > 400_000:
+            self.clear()
+        x = np.fromiter(map(self.__getitem__, [END, *words, END]), np.int64, len(words) + 2)
+        u, w = x[:-1], x[1:]
+        return u * np.int64(0x1E3779B97F4A7C15) + w, u, w  # wraps around
+
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """key, u, w, c: all pairs of neighbouring words of all documents with their counts in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, n = _Names(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, u, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            c = np.bincount(inverse, weights=c).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, u[first], w[first], c)], ["key", "u", "w", "c"])
+
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = names.pairs(lower_words(t.as_py()))
+                held.append((*found, np.full(len(found[0]), 0 if held_out(d) else 1)))
+                n += len(found[0])
+                if n > 2_000_000:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long, u long, w long, c long")
+    return part.groupBy("key", "u", "w").agg(F.sum("c").alias("c"))
+
+
+def seat_pairs(several: DataFrame, words: DataFrame, d: float, seed: list[int], keep: bool) -> DataFrame:
+    """One sweep over pairs seen more than once; words has id, tu (tables of the restaurant of that word) and p (its probability).
+
+    own sums customers less discounts over the sweeps kept.
+    """
+    placed = several.join(words.select(F.col("id").alias("u"), "tu"), "u").join(words.select(F.col("id").alias("w"), F.col("now").alias("pw")), "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            c, t = b.column("c").to_numpy(), b.column("t").to_numpy()
+            rng = np.random.default_rng([*seed, int(b.column("key").to_numpy()[0]) & 2**63 - 1, len(c)])
+            t = seat(c, b.column("tu").to_numpy() - t, d, b.column("pw").to_numpy(), rng)
+            own = b.column("own").to_numpy() + (c - d * t if keep else 0.0)
+            yield from pa.table([*(b.column(x) for x in ("key", "u", "w", "c")), pa.array(t), pa.array(own)], ["key", "u", "w", "c", "t", "own"]).to_batches()
+
+    return placed.mapInArrow(run, "key long, u long, w long, c long, t long, own double")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
     held, n = [], 0
     for b in batches:
@@ -303,51 +370,100 @@ def _word_prob(c: str, t: str, lg: str, d: float, tables: int, n: int) -> str:
 
 @dataclass
 class WordModel:
-    words: DataFrame  #: word, c, p (averaged predictive probability), lp (its log10, finite where p is too small for a double)
+    words: DataFrame  #: word, id, c, p (averaged predictive probability without context), and by sweep kept b (share left to it after that word) and lq (ln p)
+    pairs: DataFrame  #: key, u, w, c, own (customers less discounts, averaged)
     n: int  #: training tokens
     v: int  #: distinct ones
     unknown: float  #: probability of all spellings that training lacks together
+    kept: int  #: sweeps kept
+
+
+def _discount(table: DataFrame, c: str) -> float:
+    one, two = table.agg(F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)).first()
+    return float(np.clip(one / max(1, one + 2 * two), 0.1, 0.9))
 
 
 def train(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 7) -> WordModel:
     spark = docs.sparkSession
-    words = saved(count_words(docs))
-    n, v, one, two = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d = float(np.clip(one / max(1, one + 2 * two), 0.1, 0.9))
-    state = words.select("word", "c", (F.col("c") > 0).cast("long").alias("t"), F.lit(0.0).alias("lg"), F.lit(0.0).alias("p"), F.lit(float("-inf")).alias("lq"))
-    tables, model, unknown = v, UNIFORM, 0.0
+    words = saved(count_words(docs).withColumn("id", F.xxhash64("word")))
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    pairs = saved(count_pairs(docs))
+    d_pair = _discount(pairs, "c")
+    several = pairs.where("c > 1").select("key", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own"))
+
+    def tables_by(side: str, several: DataFrame, once: DataFrame | None) -> DataFrame:
+        """id and the tables of pairs by one of their words."""
+        by = several.groupBy(F.col(side).alias("id")).agg(F.sum("t").alias(f"t_{side}"))
+        return by if once is None else once.unionByName(by).groupBy("id").agg(F.sum(f"t_{side}").alias(f"t_{side}"))
+
+    once = {x: saved(tables_by(x, pairs.where("c = 1").withColumn("t", F.lit(1).cast("long")), None)) for x in "uw"}
+
+    def seated(state: DataFrame, several: DataFrame) -> DataFrame:
+        """state with k and tu: tables of pairs that end and that begin with the word."""
+        for x, name in (("w", "k"), ("u", "tu")):
+            state = state.drop(name).join(tables_by(x, several, once[x]), "id", "left").withColumn(name, F.coalesce(f"t_{x}", F.lit(0))).drop(f"t_{x}")
+        return state
+
+    state = saved(seated(words, several).select("word", "id", "c", "k", "tu", F.least("k", F.lit(1)).cast("long").alias("t"), F.lit(0.0).alias("p")))
+    d = _discount(state, "k")
+    total = state.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    state = state.withColumn("now", F.col("k") / F.lit(max(1, total)))
+    tables, model, unknown, kept = v, UNIFORM, 0.0, sweeps - burn_in
     for sweep in range(sweeps):
+        several = saved(seat_pairs(several, state, d_pair, [seed, sweep], sweep >= burn_in))
+        state = saved(seated(state, several))
+        total = state.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
         counts, depth = bounded(spelling_counts(state))
         if counts.num_rows:
             model = seat_spelling(counts["key"].to_numpy(), counts["n"].to_numpy(), model, np.random.default_rng([seed, sweep]), depth)
-        held, total = spark.sparkContext.broadcast(model), tables
+        held, other = spark.sparkContext.broadcast(model), tables
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, total=total, sweep=sweep) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, other=other, sweep=sweep) -> Iterator[pa.RecordBatch]:
             for b in _blocks(batches):
                 lg = held.value.log_words(*spell(b.column("word").to_pylist()))
-                c, t = b.column("c").to_numpy(), b.column("t").to_numpy().copy()
-                some = np.flatnonzero(c > 0)
-                rng = np.random.default_rng([seed, sweep, zlib.crc32(b.column("word")[0].as_py()), len(c)])
+                k, t = b.column("k").to_numpy(), b.column("t").to_numpy()
+                some = np.flatnonzero(k > 0)
+                rng = np.random.default_rng([seed, sweep, zlib.crc32(b.column("word")[0].as_py()), len(k)])
+                t = np.minimum(t, k)
                 if len(some):
-                    t[some] = seat(c[some], total - t[some], d, np.exp(lg[some]), rng)
-                yield from pa.table([b.column("word"), b.column("c"), pa.array(t), pa.array(lg), b.column("p"), b.column("lq")], ["word", "c", "t", "lg", "p", "lq"]).to_batches()
+                    t[some] = seat(k[some], other - t[some], d, np.exp(lg[some]), rng)
+                yield from b.drop_columns(["t"]).append_column("t", pa.array(t)).append_column("lg", pa.array(lg)).to_batches()
 
-        state = saved(state.mapInArrow(run, "word binary, c long, t long, lg double, p double, lq double"))
-        tables, mass = state.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("c") > 0, F.exp("lg"))), F.lit(0.0))).first()
+        state = state.select("t", *[x for x in state.columns if x != "t"])
+        state = saved(state.mapInArrow(run, ", ".join(f"{x} {y}" for x, y in state.dtypes if x != "t") + ", t long, lg double"))
+        tables, mass = state.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("k") > 0, F.exp("lg"))), F.lit(0.0))).first()
+        state = state.withColumn("now", F.expr(_word_prob("k", "t", "lg", d, tables, total)))
         if sweep >= burn_in:
-            new = F.col("lg") + float(np.log((THETA + d * tables) / (THETA + n)))
-            high, low = F.greatest("lq", new), F.least("lq", new)
-            state = state.withColumns({"p": F.col("p") + F.expr(_word_prob("c", "t", "lg", d, tables, n)), "lq": high + F.log1p(F.exp(low - high))})
-            unknown += (THETA + d * tables) / (THETA + n) * max(1 - mass, 1e-9) / (sweeps - burn_in)
-    p = F.col("p") / (sweeps - burn_in)
-    spelled = (F.col("lq") - float(np.log(sweeps - burn_in))) / float(np.log(10))
-    return WordModel(saved(state.select("word", "c", p.alias("p"), F.when(F.col("c") > 0, F.log10(p)).otherwise(spelled).alias("lp"))), n, v, unknown)
+            new = F.col("lg") + float(np.log((THETA + d * tables) / (THETA + total)))
+            state = state.withColumns(
+                {
+                    "p": F.col("p") + F.col("now") / kept,
+                    f"lq{sweep - burn_in}": F.when(F.col("k") > 0, F.ln("now")).otherwise(new),
+                    f"b{sweep - burn_in}": (THETA + d_pair * F.col("tu")) / (THETA + F.col("c")),
+                }
+            )
+            unknown += (THETA + d * tables) / (THETA + total) * max(1 - mass, 1e-9) / kept
+        state = state.drop("lg")
+    seen = several.select("key", "u", "w", "c", (F.col("own") / kept).alias("own"))
+    rest = pairs.where("c <= 1").select("key", "u", "w", "c", F.when(F.col("c") == 1, 1 - d_pair).otherwise(0.0).alias("own"))
+    return WordModel(saved(state), seen.unionByName(rest), n, v, unknown, kept)
+
+
+def pair_values(model: WordModel) -> DataFrame:
+    """key, c, known, base and lp (log10 of the word's probability after the other) of every pair."""
+    before = model.words.select(F.col("id").alias("u"), F.col("c").alias("cu"), *[f"b{s}" for s in range(model.kept)])
+    base = F.log10((F.col("c") + 0.1) / (model.n + 0.1 * (model.v + 1)))
+    word = model.words.select(F.col("id").alias("w"), (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), *[f"lq{s}" for s in range(model.kept)])
+    high = F.greatest(*[F.col(f"lq{s}") for s in range(model.kept)], F.lit(float("-inf")), F.lit(float("-inf")))
+    left = high + F.ln(sum(F.col(f"b{s}") * F.exp(F.col(f"lq{s}") - high) for s in range(model.kept)) / model.kept)
+    ln = F.when(F.col("own") > 0, F.ln(F.col("own") / (THETA + F.col("cu")) + F.exp(left))).otherwise(left)
+    return model.pairs.join(before, "u").join(word, "w").select("key", "c", "known", "base", (ln / float(np.log(10))).alias("lp"))
 
 
 def score(docs: DataFrame, model: WordModel, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    values = model.words.select("word", (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 0.1) / (model.n + 0.1 * (model.v + 1))).alias("base"), "lp", "c")
+    values = saved(pair_values(model))
     # Counts fall into eighths of octaves (a few hundred at most); the top ones that together have few enough words are sent.
     octave = F.floor(F.log2("c") * 8)
     size = values.where("c > 0").groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("o")).collect()
@@ -358,41 +474,32 @@ def score(docs: DataFrame, model: WordModel, frequent: int = FREQUENT) -> DataFr
             break
         least = r["o"]
     top = values.where("c > 0").where(octave >= least if least is not None else F.lit(False)).drop("c").toArrow()
-    held = spark.sparkContext.broadcast((top["word"].to_pylist(), *(top[x].to_numpy() for x in ("known", "base", "lp"))))
+    top = top.sort_by("key")
+    held = spark.sparkContext.broadcast(tuple(top[x].to_numpy() for x in ("key", "known", "base", "lp")))
     del top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, (known, base, lp) = _index(held)
-        end = index.get(END, -1)
+        keys, known, base, lp = held.value
+        names = _Names()
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = lower_words(t.as_py())
-                at = np.fromiter((index.get(w, -1) for w in own), np.int64, len(own))
-                rare = [own[i] for i in np.flatnonzero(at < 0)]
-                at = at[at >= 0]
-                if end >= 0:
-                    at = np.r_[at, end]
-                else:
-                    rare.append(END)
-                rows.append((d, held_out(d), len(own) + 1, int(known[at].sum()), float(base[at].sum()), float(lp[at].sum()), rare))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+                own = names.pairs(lower_words(t.as_py()))[0]
+                at = np.searchsorted(keys, own)
+                hit = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(own), bool)
+                at = at[hit]
+                rows.append((d, held_out(d), len(own), int(known[at].sum()), float(base[at].sum()), float(lp[at].sum()), own[~hit]))
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "held_out", "n_tokens", "known", "base", "lp", "rare"])
 
-    part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, rare array<binary>")
+    part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, rare array<long>")
     part = saved(part.withColumn("row", F.monotonically_increasing_id()))
-    rare = part.select("row", F.explode("rare").alias("word")).join(values.drop("c"), "word").groupBy("row").agg(F.sum("known").alias("k2"), F.sum("base").alias("b2"), F.sum("lp").alias("l2"))
+    rare = part.select("row", F.explode("rare").alias("key")).join(values.drop("c"), "key").groupBy("row").agg(F.sum("known").alias("k2"), F.sum("base").alias("b2"), F.sum("lp").alias("l2"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return part.drop("rare").join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", plus("known", "k2").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), plus("base", "b2").alias("base_score"), plus("lp", "l2").alias("score"))
 
 
-@lru_cache(maxsize=1)
-def _index(held) -> tuple[dict[bytes, int], tuple]:
-    words, *rest = held.value
-    return {w: i for i, w in enumerate(words)}, tuple(rest)
-
-
 def perplexity(scored: DataFrame) -> DataFrame:
     """held_out, n_docs, perplexity per token by the model and by the base."""
     by = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
