@@ -79,3 +79,17 @@ def test_neighbours_across_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(t.startswith("Own words") for t in got.values()) and len(got) == 9
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_differencing_decides_in_and_beside_articles(spark):
+    own = [f"Own words of page number {k}, and then some more of them {k * 7}" for k in range(4)]
+    inside = extracted(spark, [(k, f"http://h.com/p/{k}", f"<nav>n</nav><article><p>Licence of the site</p><p>{t}</p></article>") for k, t in enumerate(own)])
+    assert inside == dict(enumerate(own))
+    beside = extracted(spark, [(k, f"http://h.com/p/{k}", f"<div>Notice</div><article>Teaser {k}</article><div>{t}</div>") for k, t in enumerate(own)])
+    assert beside == {k: f"Teaser {k}\n\n{t}" for k, t in enumerate(own)}
+    copies = extracted(spark, [(k, f"http://h.com/p/{k}", f"<article><p>{own[0]}</p><p>{own[1]}</p><p>{k}</p></article>") for k in range(2)])
+    assert copies == {k: f"{own[0]}\n\n{own[1]}\n\n{k}" for k in range(2)}

@@ -3,9 +3,8 @@
 A page is cut into lines, one a block of text, in page order.  Within each host pages are sorted by
 path; a page is compared with its neighbour of the longest common path.  Both pages' lines are
 aligned by longest common subsequence, and lines of the common one are what the site repeats: they
-are deleted.  Markup decides first where it says something: text in menus, footers, forms, adverts,
-comments and the like goes, and lines within an article or main element stay even if shared, as
-copies of an article share its lines too.  Where a page shares over half of its text with its
+are deleted, within an article or main element too.  Markup decides first where it says something:
+text in menus, footers, forms, adverts, comments and the like goes.  Where a page shares over half of its text with its
 neighbour, the two are copies and nothing is deleted.
 
 The sorted pages are dealt out by ranges, so a large host is spread over tasks; pages at the ends of
@@ -121,10 +120,10 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def main_text(lines: list[tuple[str, bool, bool]], shared: set[int] | frozenset = frozenset()) -> str:
-    """Lines that markup doesn't drop: those of the article if there is one, else those not shared."""
-    article = any(a and not d for _, d, a in lines)
-    return "\n\n".join(t for i, (t, d, a) in enumerate(lines) if not d and (a if article else i not in shared))
+def main_text(lines: list[tuple[str, bool, bool]], shared: set[int] | frozenset | None = None) -> str:
+    """Lines that markup doesn't drop and that are not shared; by markup alone (shared is None) those of the article if there is one."""
+    article = shared is None and any(a and not d for _, d, a in lines)
+    return "\n\n".join(t for i, (t, d, a) in enumerate(lines) if not d and (a if article else i not in (shared or ())))
 
 
 def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -183,10 +182,9 @@ def line_signatures(pages: DataFrame) -> DataFrame:
             hashes, sizes, undecided = [], [], []
             for p in pages_:
                 lines = page_lines(p or "")
-                article = any(a and not d for _, d, a in lines)
                 hashes.append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _, _ in lines])
                 sizes.append([len(t) for t, _, _ in lines])
-                undecided.append([not d and not article for _, d, _ in lines])
+                undecided.append([not d for _, d, _ in lines])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(undecided, pa.list_(pa.bool_()))], ["k", "host", "path", "hashes", "sizes", "undecided"])
 
     return pages.select(F.xxhash64("url", "html").alias("k"), host.alias("host"), path.alias("path"), "html").mapInArrow(run, _LINES)
