@@ -93,3 +93,13 @@ def test_differencing_decides_in_and_beside_articles(spark):
     assert beside == {k: f"Teaser {k}\n\n{t}" for k, t in enumerate(own)}
     copies = extracted(spark, [(k, f"http://h.com/p/{k}", f"<article><p>{own[0]}</p><p>{own[1]}</p><p>{k}</p></article>") for k in range(2)])
     assert copies == {k: f"{own[0]}\n\n{own[1]}\n\n{k}" for k in range(2)}
+
+
+def test_dropped_lines_and_copies_do_not_stop_differencing(spark):
+    own = [f"Own words of page number {k}, and more {k * 7}" for k in range(4)]
+    menu = "<nav>" + "<li>A long menu item that all pages of this site have</li>" * 5 + "</nav>"
+    short = extracted(spark, [(k, f"http://h.com/p/{k}", f"{menu}<div>Header of the site</div><div>{t}</div>") for k, t in enumerate(own)])
+    assert short == dict(enumerate(own))
+    pages = [(f"/a/{k}", t) for k, t in enumerate(own)] + [("/a/1/print", own[1] + "</div><div>Print view")]
+    printed = extracted(spark, [(k, f"http://h.com{path}", f"<div>Header of the site</div><div>{t}</div>") for k, (path, t) in enumerate(pages)])
+    assert printed == {**dict(enumerate(own)), 4: own[1] + "\n\nPrint view"}

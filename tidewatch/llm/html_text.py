@@ -1,14 +1,15 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines, one a block of text, in page order.  Within each host pages are sorted by
-path; a page is compared with its neighbour of the longest common path.  Both pages' lines are
+path; a page is compared with the one of the longest common path that is no copy of it.  Both pages' lines are
 aligned by longest common subsequence, and lines of the common one are what the site repeats: they
 are deleted, within an article or main element too.  Markup decides first where it says something:
-text in menus, footers, forms, adverts, comments and the like goes.  Where a page shares over half of its text with its
-neighbour, the two are copies and nothing is deleted.
+text in menus, footers, forms, adverts, comments and the like goes, and only
+the other lines are compared.  Pages are copies where one shares over half of its lines' text with the
+other; if all others are copies, nothing is deleted.
 
 The sorted pages are dealt out by ranges, so a large host is spread over tasks; pages at the ends of
-ranges (two a task) meet their neighbours on the driver.
+ranges (two a task) meet those of other ranges on the driver; pages between meet their own range's.
 
 Defined cases: null html gives an empty text; a null url has an empty host and path; pages of one
 host with the same lines count as one page; an empty table gives no rows; extra columns are ignored.
@@ -158,13 +159,34 @@ def _prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _deleted(own: tuple, other: tuple) -> list[int]:
-    """Of the lines that markup leaves undecided, those shared with another page; none if the two are copies."""
-    hashes, sizes, open_ = own
-    both = common_lines(hashes, other[0])
-    if 2 * sizes[both].sum() > sizes.sum():
-        return []
-    return [i for i in both if open_[i]]
+def _deleted(own: tuple, other: tuple) -> list[int] | None:
+    """Of the lines that markup leaves undecided, those shared with another page; None if the two are copies."""
+    (hashes, sizes, _), mine, theirs = own, np.flatnonzero(own[2]), np.flatnonzero(other[2])
+    both = mine[np.array(common_lines(hashes[mine], other[0][theirs]), np.int64)]
+    return None if 2 * sizes[both].sum() > sizes[mine].sum() else both.tolist()
+
+
+def _compared(pages: list[tuple]) -> Iterator[tuple[list[int], int]]:
+    """For pages (g, host, path, lines) by host and path: lines to delete, and the length of the path in common with the page that says so, or -1.
+
+    Copies of a page's copies are passed over, so that time doesn't grow with the square of their number.
+    """
+    to_left, to_right = {}, {}
+    for i, (_, host, path, own) in enumerate(pages):
+        x, y = i - 1, max(i + 1, to_right.get(i - 1, 0))
+        found, best = [], -1
+        while True:
+            near = {j: _prefix(pages[j][2] or "", path or "") for j in (x, y) if 0 <= j < len(pages) and pages[j][1] == host}
+            if not near:
+                break
+            j = max(near, key=near.get)
+            shared = _deleted(own, pages[j][3])
+            if shared is not None:
+                found, best = shared, near[j]
+                break
+            x, y = (to_left[j], y) if j == x else (x, y + 1)
+        to_left[i], to_right[i] = x, y
+        yield found, best
 
 
 _LINES = "k long, host string, path string, hashes array<long>, sizes array<int>, undecided array<boolean>"
@@ -204,51 +226,33 @@ def shared_lines(signatures: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first = True
-
-        def emit(prev: tuple | None, row: tuple, then: tuple | None, last: bool) -> tuple:
-            nonlocal first
-            near = max(((n for n in (prev, then) if n is not None and n[1] == row[1])), key=lambda n: _prefix(n[2], row[2]), default=None)
-            best = -1 if near is None else _prefix(near[2], row[2])
-            edge = 1 * first + 2 * last
-            first = False
-            own = row[3]
-            kept = (row[1], row[2], own[0].tolist(), own[1].tolist(), own[2].tolist()) if edge else (None,) * 5
-            return (row[0], _deleted(own, near[3]) if near else [], part, edge, *kept, best)
-
-        prev = row = None
-        out: list[tuple] = []
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
-
-        for b in batches:
-            for r in b.to_pylist():
-                then = (r["g"], r["host"], r["path"], (np.array(r["hashes"], np.int64), np.array(r["sizes"], np.int64), np.array(r["undecided"], bool)))
-                if row is not None:
-                    out.append(emit(prev, row, then, False))
-                prev, row = row, then
-            if len(out) > 1000:
-                yield batch(out)
-                out = []
-        if row is not None:
-            out.append(emit(prev, row, None, True))
-        if out:
-            yield batch(out)
+        pages = [(r["g"], r["host"], r["path"], (np.array(r["hashes"], np.int64), np.array(r["sizes"], np.int64), np.array(r["undecided"], bool))) for b in batches for r in b.to_pylist()]
+        types = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int32()]
+        rows = []
+        for i, ((g, host, path, own), (shared, best)) in enumerate(zip(pages, _compared(pages), strict=True)):
+            edge = 1 * (i == 0) + 2 * (i == len(pages) - 1)
+            kept = (host, path, *(x.tolist() for x in own)) if edge else (None,) * 5
+            rows.append((g, shared, part, edge, *kept, best))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     found = saved(placed.mapInArrow(run, schema))
-    # Two rows a task at most: neighbours across the ends of ranges.
+    # Two rows a task at most: pages across the ends of ranges, outwards up to the first that is no copy.
     edges = sorted(found.where("edge > 0").collect(), key=lambda r: (r["part"], r["edge"] == 2))
     better = {}
-    for a, b in zip(edges, edges[1:]):
-        if a["part"] == b["part"] or a["host"] != b["host"]:
-            continue
-        near = _prefix(a["path"], b["path"])
-        for x, y in ((a, b), (b, a)):
-            if near > max(x["best"], better.get(x["g"], (-1,))[0]):
-                own, other = ((np.array(z["hashes"], np.int64), np.array(z["sizes"], np.int64), np.array(z["undecided"], bool)) for z in (x, y))
-                better[x["g"]] = (near, _deleted(own, other))
+    lines = [tuple(np.array(r[x], y) for x, y in (("hashes", np.int64), ("sizes", np.int64), ("undecided", bool))) for r in edges]
+    for i, x in enumerate(edges):
+        for step, side in ((-1, 1), (1, 2)):
+            j = i + step
+            while x["edge"] & side and 0 <= j < len(edges) and edges[j]["host"] == x["host"]:
+                near = _prefix(x["path"] or "", edges[j]["path"] or "")
+                if near <= max(x["best"], better.get(x["g"], (-1,))[0]):
+                    break
+                shared = _deleted(lines[i], lines[j])
+                if shared is not None:
+                    better[x["g"]] = (near, shared)
+                    break
+                j += step
     over = F.broadcast(spark.createDataFrame([(g, s) for g, (_, s) in better.items()], "g long, instead array<int>"))
     by_group = found.select("g", "shared").join(over, "g", "left").select("g", F.coalesce("instead", "shared").alias("shared")).where(F.size("shared") > 0)
     return signatures.select("k", "g").join(by_group, "g").select("k", "shared").groupBy("k").agg(F.min("shared").alias("shared"))
