@@ -310,7 +310,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
 
 
 def seat_pairs(several: DataFrame, words: DataFrame, d: float, seed: list[int], keep: bool) -> DataFrame:
-    """One sweep over pairs seen more than once; words has id, tu (tables of the restaurant of that word) and p (its probability).
+    """One sweep over pairs seen more than once; words has id, tu (tables of the restaurant of that word) and now (its probability).
 
     own sums customers less discounts over the sweeps kept.
     """
