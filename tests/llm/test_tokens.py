@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import SF
@@ -49,14 +50,17 @@ def test_chunks_join_to_the_text():
 
 def test_library_pieces_are_the_library(spark, library):
     many = texts() + all_texts(spark)
-    got = [np.frombuffer(b"".join(p), "<u4").tolist() for p in library_bpe.chunk_memo(JSON).texts(many)]
+    table = library_bpe.chunk_table(JSON)
+    got = table.ids(pa.array(many)).to_pylist()
     assert got == library(many)
+    assert table.counts(pa.array(many)).tolist() == list(map(len, got))
 
 
 def test_small_memo_forgets_and_still_agrees(spark, library):
     many = all_texts(spark)
-    memo = library_bpe.LiveMemo(library_bpe.chunk_encoder(JSON), limit=10)
-    got = [np.frombuffer(b"".join(p), "<u4").tolist() for t in many for p in memo.texts([t])]
+    table = library_bpe.ChunkTable(JSON, limit=10)
+    table.pieces.limit = 5
+    got = [ids for t in many for ids in table.ids(pa.array([t])).to_pylist()]
     assert got == library(many)
 
 

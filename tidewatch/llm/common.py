@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,9 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
-def column_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def text_lengths(texts: pa.Array) -> list[int]:
+    """Bytes of each text of a string column without nulls."""
+    return pc.binary_length(texts).to_pylist()
 
 
 def row_groups(lengths: Iterable[int], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
@@ -80,10 +82,10 @@ def row_groups(lengths: Iterable[int], limit: int = GROUP_CHARS) -> Iterator[tup
         yield start, i + 1
 
 
-#: All that any of the tokenizers' engines takes for white space.
-_ANY_SPACE = "\\s\\x1c-\\x1f\\x85"
-_ODD = re.compile(f" (?:[{_ANY_SPACE}]|$)")
-_CUT = re.compile(f" (?=[^{_ANY_SPACE}])")
+#: All that any of the tokenizers' engines takes for white space, spelt out so that all of them read it alike.
+ANY_SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = re.compile(f" (?:[{ANY_SPACE}]|$)")
+_CUT = re.compile(f" (?=[^{ANY_SPACE}])")
 
 
 def chunks(text: str) -> list[str]:
@@ -120,31 +122,3 @@ class ChunkMemo:
         for c in fresh:
             if len(c) > 64:
                 del self.memo[c]
-
-
-class LiveMemo(dict):
-    """Remembers what single chunks are encoded to; when full it keeps what the last texts used."""
-
-    def __init__(self, encode_one: Callable[[str], object], limit: int = 400_000):
-        super().__init__()
-        self.encode_one, self.limit = encode_one, limit
-
-    def __missing__(self, chunk: str) -> object:
-        got = self.encode_one(chunk[1:] if chunk[:1] == " " else " " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = got
-        return got
-
-    def texts(self, texts: list[str]) -> Iterator[list]:
-        """For each text its chunks' values, in order."""
-        parts = []
-        get = self.__getitem__
-        for t in texts:
-            p = chunks(t)
-            p[0] = " " + p[0]  # marks the chunk that no space stands before: others never start with one
-            parts.append(p)
-            yield list(map(get, p))
-        if len(self) > self.limit:
-            used = {c: self[c] for p in parts for c in p if c in self}
-            self.clear()
-            self.update(used)

@@ -1,23 +1,27 @@
-"""Byte-level BPE of the tokenizers library, applied to the pieces of remembered chunks.
+"""Byte-level BPE of the tokenizers library, applied to distinct chunks.
 
-The library's own call cuts each text by a pattern and merges within the pieces; a text is cut here
-by the same pattern, and the library's BPE model encodes each distinct piece.  Equality with the
-library's encode_batch() is tested.
+Texts are cut before single spaces, where the library's pattern always cuts too, and the chunks of a
+batch are made a dictionary by Arrow.  Chunks that the worker doesn't remember are cut by the pattern,
+the library's BPE model encodes their distinct pieces, and the texts' ids are gathered from the
+chunks'.  Equality with the library's encode_batch() is tested.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from tidewatch.llm.common import LiveMemo
+from tidewatch.llm.common import ANY_SPACE, chunks
 
 #: The pattern of byte-level pre-tokenizers (public_tokenizers.PATTERN), with white space spelt out as the libraries have it.
 SPACES = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+_ODD = f" (?:[{ANY_SPACE}]|$)"
 
 
 def byte_chars() -> dict[int, str]:
@@ -27,36 +31,128 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> Callable[[str], bytes]:
-    """Encodes a chunk to little-endian 32-bit ids."""
-    from tokenizers import Tokenizer
-
-    tokenize = Tokenizer.from_file(path).model.tokenize
-    chars = byte_chars()
-    memo: dict[str, bytes] = {}
-
-    def piece(p: str) -> bytes:
-        tokens = tokenize(p if p.isascii() and p.isalpha() else p.encode("utf-8", "replace").decode("latin-1").translate(chars))
-        return array("I", [t.id for t in tokens]).tobytes()
-
-    def encode(c: str) -> bytes:
-        if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
-            return piece(c)
+class Pieces(dict):
+    """Little-endian 32-bit ids of pieces by the library's model; short pieces are remembered."""
+
+    def __init__(self, path: str, limit: int = 200_000):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenize, self.chars, self.limit = Tokenizer.from_file(path).model.tokenize, byte_chars(), limit
+
+    def __missing__(self, p: str) -> bytes:
+        if p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+            plain = p.replace(" ", self.chars[32])
+        else:
+            plain = p.encode("utf-8", "replace").decode("latin-1").translate(self.chars)
+        got = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+        if len(p) < 12:
+            if len(self) > self.limit:
+                self.clear()
+            self[p] = got
+        return got
+
+
+class ChunkTable:
+    """Ids of distinct chunks, remembered up to a number of chunks; the most used quarter outlives that."""
+
+    def __init__(self, path: str, limit: int = 500_000):
+        self.pieces, self.limit = Pieces(path), limit
+        self.slots: dict[str, int] = {}
+        self.start, self.flat, self.used = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many there are of each chunk; all chunks start with a space and no white space behind it."""
+        found = PIECES.findall("".join(texts))
+        ids = list(map(self.pieces.__getitem__, found))
+        starts = np.cumsum([0, *map(len, texts)])
+        at = np.cumsum([0, *map(len, found)])[:-1]
+        n = np.bincount(np.searchsorted(starts[:-1], at, side="right") - 1, weights=[len(x) // 4 for x in ids], minlength=len(texts))
+        return np.frombuffer(b"".join(ids), np.int32), n.astype(np.int64)
+
+    def _learn(self, names: list[str]) -> None:
+        """A name that starts with a space stands for the rest, any other for itself with a space before it."""
+        bare, spaced = [n for n in names if n[:1] == " "], [n for n in names if n[:1] != " "]
+        flat, counts = [self.flat], []
+        for x in bare:
+            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(x[1:])))
+            flat.append(np.frombuffer(ids, np.int32))
+            counts.append(len(ids) // 4)
+        ids, n = self._encode([" " + x for x in spaced])
+        first = len(self.slots)
+        self.slots.update(zip([*bare, *spaced], range(first, first + len(names)), strict=True))
+        self.flat = np.concatenate([*flat, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.r_[np.array(counts, np.int64), n])])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
+
+    def _forget(self) -> None:
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 4])
+        names = list(self.slots)
+        n = np.diff(self.start)
+        keep = np.zeros(len(n), bool)
+        keep[stay] = True
+        self.flat = self.flat[np.repeat(keep, n)]
+        self.start = np.r_[0, np.cumsum(n[stay])]
+        self.used = self.used[stay] // 2
+        self.slots = {names[i]: k for k, i in enumerate(stay.tolist())}
+
+    def _look_up(self, names: list[str]) -> np.ndarray:
+        if len(self.slots) > self.limit or len(self.flat) > 16 * self.limit:
+            self._forget()
+        new = list({n for n in names if n not in self.slots})
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
+
+    def _slots_of(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all chunks of lists of chunks, none empty, and the lists' offsets."""
+        at = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy().astype(np.int64)
+        names += [" " + names[i] for i in index[at[:-1]]]  # no space stands before these
+        index[at[:-1]] = np.arange(len(coded.dictionary), len(names))
+        place = np.zeros(len(names), np.int64)
+        own = np.flatnonzero(np.bincount(index, minlength=len(names)))
+        place[own] = self._look_up([names[i] for i in own.tolist()])
+        slots = place[index]
+        self.used += np.bincount(slots, minlength=len(self.used))
+        return slots, at
+
+    def _lists(self, texts: pa.Array) -> list[tuple[np.ndarray, pa.ListArray]]:
+        """Places in texts, and lists of chunks of the texts there."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         out = []
-        for p in PIECES.findall(c):
-            got = memo.get(p)
-            if got is None:
-                got = piece(p)
-                if len(p) < 12 and len(memo) < 50_000:
-                    memo[p] = got
-            out.append(got)
-        return b"".join(out)
-
-    return encode
+        for places in (np.flatnonzero(~odd), np.flatnonzero(odd)):
+            if len(places):
+                some = texts.take(pa.array(places))
+                out.append((places, pa.array([chunks(t) for t in some.to_pylist()], pa.list_(pa.string())) if odd[places[0]] else pc.split_pattern(some, " ")))
+        return out
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text (strings, none null)."""
+        out = np.zeros(len(texts), np.int64)
+        for places, lists in self._lists(texts):
+            slots, at = self._slots_of(lists)
+            out[places] = np.add.reduceat(np.diff(self.start)[slots], at[:-1])
+        return out
+
+    def ids(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text (strings, none null), as a list array of int32."""
+        parts, order = [pa.array([], pa.list_(pa.int32()))], [np.empty(0, np.int64)]
+        for places, lists in self._lists(texts):
+            slots, at = self._slots_of(lists)
+            begin, n = self.start[slots], np.diff(self.start)[slots]
+            ends = np.cumsum(n)
+            values = self.flat[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
+            parts.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends][at].astype(np.int32)), pa.array(values)))
+            order.append(places)
+        place = np.argsort(np.concatenate(order))
+        out = pa.concat_arrays(parts)
+        return out if (np.diff(place) == 1).all() else out.take(pa.array(place))
 
 
 @lru_cache(maxsize=2)
-def chunk_memo(path: str) -> LiveMemo:
-    """The worker's memo of chunks' ids; tasks share it."""
-    return LiveMemo(chunk_encoder(path))
+def chunk_table(path: str) -> ChunkTable:
+    """The worker's table of chunks' ids; tasks share it."""
+    return ChunkTable(path)

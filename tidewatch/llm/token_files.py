@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import row_groups, saved, shared_dir, table
-from tidewatch.llm.library_bpe import chunk_memo
+from tidewatch.llm.common import row_groups, saved, shared_dir, table, text_lengths
+from tidewatch.llm.library_bpe import chunk_table
 
 FILE_SCHEMA = "doc_id long, file_row long, ids array<int>"
 
@@ -29,15 +29,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encodes doc_id, text to ORC files at path, ascending by doc_id over and within the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = chunk_memo(tokenizer_path)
-        end, row = np.array([end_id], "<u4").tobytes(), 0
+        table_of, row = chunk_table(tokenizer_path), 0
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in row_groups(map(len, texts)):
-                ids = [b"".join((*parts, end)) for parts in memo.texts(texts[lo:hi])]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.arange(row, row + hi - lo)), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "file_row", "ids"])
+            texts = b.column(1).fill_null("")
+            for lo, hi in row_groups(text_lengths(texts)):
+                ids = table_of.ids(texts.slice(lo, hi - lo))
+                at = ids.offsets.to_numpy()
+                values = np.insert(ids.values.to_numpy(), at[1:], end_id)
+                offsets = at + np.arange(len(at), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.arange(row, row + hi - lo)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "file_row", "ids"])
                 row += hi - lo
 
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -6,19 +6,21 @@ quantile is the share of documents of at most L tokens.  The histogram is the wh
 total, quantile or truncated total is a lookup in it (see at_limit and quantile_length).
 
 Defined cases: null and empty texts have length 0; repeated rows count as often as they occur; an
-empty table gives no rows.
+empty table gives no rows; very long texts are encoded whole, a group of texts at a time; other columns
+are ignored, whatever their names.  The counts are written once, so texts are encoded once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import row_groups, table
-from tidewatch.llm.library_bpe import chunk_memo
+from tidewatch.llm.common import row_groups, saved, table, text_lengths
+from tidewatch.llm.library_bpe import chunk_table
 
 #: Lengths of one block of the two-level suffix sums.
 BLOCK = 1024
@@ -28,14 +30,13 @@ def length_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     """n_tokens, n_docs: each task counts its own texts, and the counts are added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = chunk_memo(tokenizer_path)
+        table_of = chunk_table(tokenizer_path)
         seen: dict[int, int] = {}
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for lo, hi in row_groups(map(len, texts)):
-                for counts in memo.texts(texts[lo:hi]):
-                    n = sum(map(len, counts)) // 4
-                    seen[n] = seen.get(n, 0) + 1
+            texts = b.column(0).fill_null("")
+            for lo, hi in row_groups(text_lengths(texts)):
+                for n, times in zip(*(x.tolist() for x in np.unique(table_of.counts(texts.slice(lo, hi - lo)), return_counts=True)), strict=True):
+                    seen[n] = seen.get(n, 0) + times
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
@@ -73,7 +74,7 @@ def with_suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    return with_suffix_sums(length_counts(docs, tokenizer_path, text_col))
+    return with_suffix_sums(saved(length_counts(docs, tokenizer_path, text_col)))
 
 
 def at_limit(histogram: DataFrame, limits: list[int]) -> DataFrame:
