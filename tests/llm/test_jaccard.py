@@ -4,7 +4,8 @@ import numpy as np
 from helpers import SF
 
 from tidewatch.llm import jaccard
-from tidewatch.llm.graph import components
+from tidewatch.llm import shingle_sets as sets
+from tidewatch.operators.graph import connected as components
 
 
 def shingles(t):
@@ -51,8 +52,8 @@ def test_linked_sets_share_enough_signatures():
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         drop = rng.permutation(len(a))[: int(rng.integers(0, max(1, len(a) // 4) + 1))]
         b = np.unique(np.r_[np.delete(a, drop), rng.integers(0, 2**63, int(rng.integers(0, len(a) // 5 + 1))).astype(np.uint64)])
-        if len(b) and jaccard.linked(a, b):
-            (x, p), (y, q) = jaccard.signatures(a), jaccard.signatures(b)
+        if len(b) and sets.linked(a, b):
+            (x, p), (y, q) = sets.signatures(a), sets.signatures(b)
             assert len(np.intersect1d(x, y)) >= min(p, q) >= 1
 
 
@@ -103,9 +104,67 @@ def test_sketches_never_drop_a_link():
         n = int(rng.choice([1, 5, 60, 127, 128, 129, 500, 3000]))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
         b = np.unique(np.r_[np.delete(a, rng.permutation(len(a))[: int(rng.integers(0, len(a) // 4 + 1))]), rng.integers(0, 2**63, int(rng.integers(0, len(a) // 4 + 1))).astype(np.uint64)])
-        if len(b) and jaccard.linked(a, b):
-            assert jaccard.may_link(jaccard.fine_sketch(a), jaccard.fine_sketch(b), len(a) + len(b))
-            bits = sum(int(x ^ y).bit_count() for x, y in zip(jaccard.sketch(a).view(np.uint64).tolist(), jaccard.sketch(b).view(np.uint64).tolist()))
+        if len(b) and sets.linked(a, b):
+            assert sets.may_link(sets.fine_sketch(a), sets.fine_sketch(b), len(a) + len(b))
+            bits = sum(int(x ^ y).bit_count() for x, y in zip(sets.sketch(a).view(np.uint64).tolist(), sets.sketch(b).view(np.uint64).tolist()))
             assert 7 * bits <= len(a) + len(b)
     far = rng.integers(0, 2**63, (2, 4000)).astype(np.uint64)
-    assert not jaccard.may_link(jaccard.fine_sketch(far[0]), jaccard.fine_sketch(far[1]), 8000)
+    assert not sets.may_link(sets.fine_sketch(far[0]), sets.fine_sketch(far[1]), 8000)
+
+
+def near_copies(rng, n, m, most):
+    """A set of n numbers, and m copies of it with up to so many elements replaced, added or taken away."""
+    hub = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    out = []
+    for _ in range(m):
+        gone, new = rng.integers(0, most + 1, 2)
+        out.append(np.unique(np.r_[np.delete(hub, rng.permutation(len(hub))[:gone]), rng.integers(0, 2**63, new).astype(np.uint64)]))
+    return hub, out
+
+
+def test_linked_sets_share_a_key_of_differences():
+    rng = np.random.default_rng(3)
+    for n, most in ((40, 12), (150, 45), (150, 60), (400, 130)):
+        hub, made = near_copies(rng, n, 60, most)
+        twins = [np.unique(np.r_[s[3:], rng.integers(0, 2**63, 3).astype(np.uint64)]) for s in made]  # linked with outer sets, too
+        made += twins
+        got = [sets.difference_keys(s, hub, 5) for s in made]
+        assert [g[0] for g in got] == [sets.linked(s, hub) for s in made]
+        for i, x in enumerate(made):
+            for j in range(i):
+                if sets.linked(x, made[j]) and not (got[i][0] and got[j][0]):
+                    assert any(len(np.intersect1d(got[p][1][got[p][1] & sets.SIDE == 0] | sets.SIDE, got[q][1])) for p, q in ((i, j), (j, i)))
+
+
+def test_candidates_of_a_large_group_grow_in_proportion():
+    """Copies with words replaced, about half of which link with the original."""
+    rng, shingle = random.Random(4), sets.Shingles()
+    base = [f"b{i}" for i in range(200)]
+    hub = shingle(" ".join(base))
+    made = [shingle(" ".join(edited(rng, base, rng.random() * 0.07))) for _ in range(5000)]
+    got = [sets.difference_keys(s, hub, 5) for s in made]
+    assert 0.3 < np.mean([inside for inside, _ in got]) < 0.8
+
+    def candidates(m):
+        keys, count = np.unique(np.concatenate([np.unique(k) for _, k in got[:m]]), return_counts=True)
+        low = dict(zip((k := keys[keys & sets.SIDE == 0]).tolist(), count[keys & sets.SIDE == 0].tolist()))
+        assert len(k)
+        return sum(c * low.get(x, 0) for x, c in zip((keys & ~sets.SIDE)[keys & sets.SIDE > 0].tolist(), count[keys & sets.SIDE > 0].tolist()))
+
+    # a set of a band meets itself, too, from both sides
+    assert candidates(5000) <= 6 * candidates(1000)
+
+
+def test_a_group_of_5000_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(k, " ".join(edited(rng, base, rng.choice([0, 0.01, 0.02, 0.05, 0.07])))) for k in range(5000)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [sets.Shingles()(t) for _, t in rows]
+    first = next(k for k, t in rows if t == " ".join(base))
+    straight = {k for k, s in enumerate(texts) if sets.linked(s, texts[first])}  # linked with the original
+    top = min(straight)
+    assert all(got[k] == top for k in straight)
+    for k in rng.sample(sorted(set(got) - straight), 150):
+        others = [j for j, s in enumerate(texts) if j != k and sets.linked(s, texts[k])]
+        assert all(got[j] == got[k] for j in others) and (others or got[k] == k)

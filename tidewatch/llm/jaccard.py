@@ -1,34 +1,30 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds the 64-bit hashes of its distinct word 5-grams.  Two sets A, B link when
-4 |A & B| >= 3 |A | B|, so they differ in at most (|A| + |B|) / 7 elements.  Sets are banded by size
-(powers of two); the feature domain is cut into partitions by a hash, about 3/8 of the band's top, and
-a signature is the hash of a set's elements in one partition.  Each differing element spoils at most
-one partition.  In the fixed order of partitions, of the first K + 1 + h that either set fills, at
-least h + 1 agree if at most K differ; so a set signs its first K + 1 + h filled partitions, and
-linked sets share at least h + 1 signatures.  A set within reach of the next band signs for that band
-as well.  Should a set fill too few partitions for this to hold, it signs again under another hash.
+A document's set holds the 64-bit hashes of its distinct word 5-grams.  shingle_sets.signatures() gives its
+signatures; sets that link share some.
 
 Signatures shared by more than HOT sets (a passage that many documents hold, or a large group of
-copies) are not paired up.  As a linked pair shares h + 1, it is found by the others unless all of a
-set's spare signatures are hot; such sets also meet the sets of their hot signatures.
+copies) are not paired up.  As a linked pair shares several signatures, it is found by the others unless as
+many of a set's are hot.  Such sets are compared with the leader of each of their hot signatures (the set with
+most shared signatures: the original in a group of copies), and then meet by keys of their differences from
+that leader (shingle_sets.difference_keys()): sets that link with it are one component already, and of
+others only those whose differences are alike meet.
 
 Each set has a sketch of 512 bits: the parity of its elements in 512 cells.  Two sketches differ in at
 most as many bits as the sets do in elements, so a pair whose sketches (or sizes) differ by too much is
 dropped; no linked pair is.  Pairs that pass meet finer sketches, of at least four cells an element, and
 then the sets, so few sets are moved but those of links.
 
-Candidates are checked in two rounds, so that a group of copies costs no pair of each two.  First each
-set meets the few sets with most signatures in common among those that lead a signature (the ones
-with most shared signatures: the original in a group of copies).  Links give components, and then
-only candidates of different components are checked.  All checks are exact.
+Candidates are checked in rounds, so that a group of copies costs no pair of each two.  First each set meets
+the best of the leaders with most signatures in common.  Links give components, and then only candidates of
+different components are checked.  All checks are exact.
 
 Sets, not documents, are nodes: exact copies share one.  Nodes are 64-bit hashes of sets.
 
 Defined cases: null texts and texts without words have empty sets and no links; with fewer than five
-words the whole sequence is the one element; repeated rows give repeated rows; a null doc_id is never
-a component's name unless all its documents lack one; an empty table gives no rows; extra columns are
-ignored.
+words the whole sequence is the one element; very long texts are taken whole; repeated rows give repeated
+rows; a null doc_id is never a component's name unless all its documents lack one; an empty table gives no
+rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,86 +32,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import lower_words, row_groups, saved, table
-from tidewatch.llm.graph import components
+from tidewatch.llm.common import discard, row_groups, saved, table, text_lengths
+from tidewatch.llm.shingle_sets import Shingles, difference_keys, fine_sketch, linked, may_link, mix, node_of, signatures, sketch
+from tidewatch.operators.graph import connected
 
-WORDS = 5
 HOT = 24
 LEADERS = 4
-FLUSH = 1_500_000
+#: Signatures that a worker holds before it passes them on, and those that a task should sort.
+FLUSH = 600_000
+TASK_SIGNATURES = 2_000_000
 #: Columns of a set's sketch.
 SKETCH = [f"k{i}" for i in range(8)]
 
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-class Shingles:
-    """Sorted distinct 5-gram hashes of texts; word hashes are remembered, up to a number."""
-
-    def __init__(self, words: int = WORDS, limit: int = 250_000):
-        self.words, self.limit, self.memo = words, limit, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        w = lower_words(text)
-        if not w:
-            return np.empty(0, np.uint64)
-        if len(w) < self.words:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        for x in set(w).difference(memo):
-            memo[x] = xxhash.xxh64_intdigest(x)
-        h = np.array(list(map(memo.__getitem__, w)), np.uint64)
-        n = len(h) - self.words + 1
-        out = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(self.words):
-                out = (out ^ (out >> np.uint64(29))) * _M + h[k : k + n]
-        return np.unique(_mix(out))
-
-
-def node_of(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.tobytes()) - 2**63
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 4 * both >= 3 * (len(a) + len(b) - both)
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Eight 64-bit numbers: the parities of the set's elements in 512 cells."""
-    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def fine_sketch(s: np.ndarray) -> bytes:
-    """Parities in a power of two of cells, four or more an element; an element's cell is its hash's low bits."""
-    cells = max(512, 1 << (4 * len(s)).bit_length())
-    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def may_link(a: bytes, b: bytes, total: int) -> bool:
-    """May two sets with so many elements together link, by their fine sketches; the larger one is folded."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    n = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
-    return 7 * int(np.bitwise_count(x ^ y).sum()) <= total
-
 
 def near(a: str, b: str) -> Column:
     """May the sets of columns a and b (structs of n and the sketch) link, by their sizes and sketches."""
@@ -124,112 +57,97 @@ def near(a: str, b: str) -> Column:
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * bits <= na + nb)
 
 
-def _signed(s: np.ndarray, level: int, reach: int, own: int) -> tuple[list[np.ndarray], int]:
-    """Signatures of a set of size own for a band, when its partners have at most reach elements, and how many
-    a partner must share."""
-    top = 1 << level
-    n = -(-3 * top // 8) + 4
-    k = (own + reach) // 7
-    spare = own // 20 + 1
-    out = []
-    for seed in range(5):
-        with np.errstate(over="ignore"):
-            mixed = _mix(s + np.uint64((seed + 1) * 0xD1B54A32D192ED03 % 2**64))
-            q = (mixed >> np.uint64(33)).astype(np.int64)
-            if seed < 4:
-                q %= n
-            order = np.argsort(q, kind="stable")
-            q = q[order]
-            at = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            part = np.add.reduceat(mixed[order], at)
-            use = k + 1 + spare
-            tag = np.uint64((level * 8 + seed + 1) * 0xA24BAED4963EE407 % 2**64)
-            out.append(_mix(_mix(part[:use]) ^ (q[at[:use]].astype(np.uint64) * _M) ^ tag))
-        if len(at) > k:
-            return out, min(spare + 1, len(at) - k) if not seed else 1
-    return out, 1
-
-
-def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
-    """All signatures of a nonempty set, and how many a linked set shares at least."""
-    n = len(s)
-    level = (n - 1).bit_length()
-    out, least = _signed(s, level, min(1 << level, 4 * n // 3), n)
-    if 4 * n // 3 > 1 << level:
-        more, other = _signed(s, level + 1, 4 * n // 3, n)
-        out, least = out + more, min(least, other)
-    return np.concatenate(out), least
+def usual(n: Column) -> Column:
+    """Signatures that sets of n elements share with a linked set; sets that can promise fewer are weak."""
+    return F.floor(n / 64) + 1
 
 
 _DOC = 13  # columns: doc_id, whether it is null, node, set size, least shared, sketch
+_SIGNED = ["bucket", "sigs", "nodes", "docs", "fine"]
+SIGNED = "bucket long, sigs binary, nodes binary, docs binary, fine array<binary>"
+
+
+class Packer:
+    """Signatures with their nodes, dealt to buckets and packed: five bytes of a signature (its bucket is told
+    by the row), eight of a node.  Signatures that agree so far by chance only add candidates."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.sigs, self.nodes, self.held = buckets, [], [], 0
+
+    def add(self, sigs: np.ndarray, node: int) -> None:
+        self.sigs.append(sigs)
+        self.nodes.append((node, len(sigs)))
+        self.held += len(sigs)
+
+    def flush(self) -> pa.RecordBatch:
+        s = np.concatenate(self.sigs)
+        node = np.repeat(np.array([x for x, _ in self.nodes], np.int64), [c for _, c in self.nodes])
+        self.sigs, self.nodes, self.held = [], [], 0
+        b = ((s & np.uint64(0xFFFFFF)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        b, node, s = b[order], node[order], np.ascontiguousarray((s[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        ends = np.r_[at[1:], len(b)]
+        return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([s[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([node[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.binary()))], _SIGNED)
 
 
 def sign(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket and packed arrays: signatures with their nodes, or rows about documents with their fine sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingles(), set()
-        sigs: list[np.ndarray] = []
-        nodes: list[tuple[int, int]] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            s = np.concatenate(sigs)
-            node = np.repeat(np.array([x for x, _ in nodes], np.int64), [c for _, c in nodes])
-            b = (s % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            s, node, b = s[order], node[order], b[order]
-            at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-            ends = np.r_[at[1:], len(b)]
-            return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([s[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([node[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.binary()))], ["bucket", "sigs", "nodes", "docs", "fine"])
-
+        shingle, seen, packer = Shingles(), set(), Packer(buckets)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo, hi in row_groups(len(t or "") for t in texts):
+            for lo, hi in row_groups(pc_lengths(batch.column(1))):
                 info, fine = [], []
-                for d, t in zip(ids[lo:hi], texts[lo:hi]):
+                for d, t in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()):
                     s = shingle(t)
                     node, least = node_of(s), 0
                     if len(s):
-                        known = node in seen
-                        sig, least = signatures(s) if not known else (None, -1)
-                        if not known:
+                        least = -1
+                        if node not in seen:
                             seen.add(node)
-                            sigs.append(sig)
-                            nodes.append((node, len(sig)))
-                            held += len(sig)
+                            sig, least = signatures(s)
+                            packer.add(sig, node)
                     fine.append(fine_sketch(s) if least > 0 else None)
                     info.append((d or 0, d is None, node, len(s), least, *sketch(s).tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([info[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(info, np.int64).tobytes()], pa.binary()), pa.array([fine], pa.list_(pa.binary()))], ["bucket", "sigs", "nodes", "docs", "fine"])
-                if held > FLUSH:
-                    yield flush()
-                    sigs, nodes, held = [], [], 0
-        if held:
-            yield flush()
+                yield pa.RecordBatch.from_arrays([pa.array([info[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(info, np.int64).tobytes()], pa.binary()), pa.array([fine], pa.list_(pa.binary()))], _SIGNED)
+                if packer.held > FLUSH:
+                    yield packer.flush()
+        if packer.held:
+            yield packer.flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket long, sigs binary, nodes binary, docs binary, fine array<binary>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+
+
+def pc_lengths(texts: pa.Array) -> list[int]:
+    return text_lengths(texts.fill_null(""))
 
 
 _MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH) + ", fine binary"
 
 
-def meet(signed: DataFrame, partitions: int) -> DataFrame:
+def meet(signed: DataFrame, partitions: int, sides: bool = False) -> DataFrame:
     """Rows (sig, node, shared) for signatures that several nodes have; rows (node, doc_id, n_shingles, least) for documents.
 
-    A partition sorts its share of the signatures; a signature's nodes are counted once each.
+    A partition sorts its share of the signatures; a signature's nodes are counted once each.  With sides, the
+    signature's last bit is one, and only signatures that several nodes have from both sides stay.
     """
+    cut = 1 if sides else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes = [], []
         names = [x.split()[0] for x in _MET.split(", ")]
         for b in batches:
-            for s, n, d, fine in zip(b.column(1), b.column(2), b.column(3), b.column(4), strict=True):
+            for bucket, s, n, d, fine in zip(*(b.column(k) for k in range(5)), strict=True):
                 if d.is_valid:
                     x = np.frombuffer(d.as_buffer(), np.int64).reshape(-1, _DOC)
                     void = pa.nulls(len(x), pa.int64())
                     yield pa.RecordBatch.from_arrays([void, pa.array(x[:, 2]), void.cast(pa.int32()), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(5, _DOC)), pa.array(fine.as_py(), pa.binary())], names)
                 else:
-                    sigs.append(np.frombuffer(s.as_buffer(), np.int64))
+                    wide = np.zeros((len(n.as_buffer()) // 8, 8), np.uint8)
+                    wide[:, :5] = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 5)
+                    # the bucket tells signatures of other buckets apart
+                    sigs.append(wide.view(np.int64).ravel() | (bucket.as_py() & 0x7FFFFF) << 40)
                     nodes.append(np.frombuffer(n.as_buffer(), np.int64))
         if not sigs:
             return
@@ -238,19 +156,23 @@ def meet(signed: DataFrame, partitions: int) -> DataFrame:
         order = np.argsort(s, kind="stable")
         s = s[order]
         keep = np.zeros(len(s), bool)
-        same = s[1:] == s[:-1]
+        same = s[1:] >> cut == s[:-1] >> cut
         keep[1:] |= same
         keep[:-1] |= same
-        s, n = s[keep], n[order][keep]
+        s, n = s[keep], n[order[keep]]
+        order = keep = same = None
         order = np.lexsort((n, s))
         s, n = s[order], n[order]
         if len(s):
             first = np.r_[True, (s[1:] != s[:-1]) | (n[1:] != n[:-1])]
             s, n = s[first], n[first]
-            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            at = np.flatnonzero(np.r_[True, s[1:] >> cut != s[:-1] >> cut])
             count = np.diff(np.r_[at, len(s)])
-            shared = np.repeat(count, count)
-            s, n, shared = s[shared > 1], n[shared > 1], shared[shared > 1].astype(np.int32)
+            several = np.minimum.reduceat(n, at) < np.maximum.reduceat(n, at)
+            if sides:
+                several &= np.minimum.reduceat(s & 1, at) < np.maximum.reduceat(s & 1, at)
+            shared, several = np.repeat(count, count), np.repeat(several, count)
+            s, n, shared = s[several], n[several], shared[several].astype(np.int32)
         for lo in range(0, len(s), 100_000):
             m = len(s[lo : lo + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 8, pa.nulls(m, pa.binary())], names)
@@ -258,43 +180,60 @@ def meet(signed: DataFrame, partitions: int) -> DataFrame:
     return signed.repartition(partitions, "bucket").mapInArrow(run, _MET)
 
 
-BLOOM_BITS = 1 << 25
+#: Bits of the largest Bloom filter of ids (32 MB).
+BLOOM_BITS = 1 << 28
+_SLICE = 1 << 16
+
+
+def _bloom(ids: pa.Array, bits: int) -> np.ndarray:
+    """Three positions of each id, a row each; null counts as 0."""
+    x = ids.fill_null(0).to_numpy().view(np.uint64)[:, None] * np.uint64(2) + np.array([1, 2, 3], np.uint64) * np.uint64(7919)
+    return (mix(x) % np.uint64(bits)).astype(np.int64)
+
+
+def bloom_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """Packed bits of the ids (column doc_id): sixteen an id, up to BLOOM_BITS; merged slice by slice."""
+    bits = min(BLOOM_BITS, max(_SLICE, 1 << (16 * n).bit_length()))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(_bloom(b.column(0), bits))
+            for k in np.unique(at // _SLICE).tolist():
+                own = found.setdefault(k, np.zeros(_SLICE, bool))
+                own[at[at // _SLICE == k] % _SLICE] = True
+        for k, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["slice", "bits"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        merged = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]]))
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [merged.tobytes()]})
+
+    out = np.zeros((bits // _SLICE, _SLICE // 8), np.uint8)
+    parts = ids.select("doc_id").mapInArrow(part, "slice int, bits binary").groupBy("slice").applyInPandas(whole, "slice int, bits binary")
+    for r in parts.toLocalIterator():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
     """node, set (packed) for the wanted nodes, from the texts.
 
-    One document stands for each.  The ids go to the scan as a Bloom filter of fixed size, which only
+    One document stands for each.  The ids go to the scan as a Bloom filter of bounded size, which only
     saves work: the join behind it decides.
     """
     spark = docs.sparkSession
-    ids = saved(known.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull().cast("int")).alias("no_id")))
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(BLOOM_BITS, bool)
-        for b in batches:
-            x = np.array([v or 0 for v in b.column(0).to_pylist()], np.int64).view(np.uint64)
-            for k in (1, 2, 3):
-                out[(_mix(x * np.uint64(2) + np.uint64(k * 7919)) % np.uint64(BLOOM_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
-
-    merged = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.coalesce(8).select("doc_id").mapInArrow(bits, "bits binary").toLocalIterator():
-        merged |= np.frombuffer(r[0], np.uint8)
-    held = spark.sparkContext.broadcast(merged.tobytes())
+    ids = saved(known.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    held = spark.sparkContext.broadcast(bloom_filter(ids, ids.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shingle = np.frombuffer(held.value, np.uint8), Shingles()
+        bits, shingle = held.value, Shingles()
         for b in batches:
-            x = np.array([v or 0 for v in b.column(0).to_pylist()], np.int64).view(np.uint64)
-            ok = np.ones(len(x), bool)
-            for k in (1, 2, 3):
-                at = (_mix(x * np.uint64(2) + np.uint64(k * 7919)) % np.uint64(BLOOM_BITS)).astype(np.int64)
-                ok &= (out[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            texts = b.column(1).filter(pa.array(ok)).to_pylist()
-            own = b.column(0).filter(pa.array(ok))
-            for lo, hi in row_groups(len(t or "") for t in texts):
-                sets = [shingle(t) for t in texts[lo:hi]]
+            at = _bloom(b.column(0), len(bits) * 8)
+            ok = pa.array(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1))
+            texts, own = b.column(1).filter(ok), b.column(0).filter(ok)
+            for lo, hi in row_groups(pc_lengths(texts)):
+                sets = [shingle(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo), pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "node", "set"])
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, set binary")
@@ -315,22 +254,73 @@ def sketched(pairs: DataFrame, fine: DataFrame) -> DataFrame:
     return joined.select("a", "b", "fa", "fb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _pairs_of_sets(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+        yield i, j, np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+
+
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ok = [linked(x, y) for _, _, x, y in _pairs_of_sets(b)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def by_differences(members: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """For sets a and hubs b: rows a, b of links with hubs, and keys of differences packed as sign() does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
+        names = [*_SIGNED[:3], "a", "b"]
+
+        def keys() -> pa.RecordBatch:
+            out = packer.flush()
+            return pa.RecordBatch.from_arrays([*out.columns[:3], pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], names)
+
+        for batch in batches:
+            links = []
+            for i, j, x, y in _pairs_of_sets(batch):
+                inside, own = difference_keys(x, y, j)
+                if inside:
+                    links.append((i, j))
+                if len(own):
+                    packer.add(own, i)
+                if packer.held > FLUSH:
+                    yield keys()
+            if links:
+                n = len(links)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*links, strict=True))], names)
+        if packer.held:
+            yield keys()
+
+    return _with_sets(members, sets).mapInArrow(run, "bucket long, sigs binary, nodes binary, a long, b long")
+
+
+def _sides(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
+    """Pairs of rows (key, node, label, spare, look) that share the key, a before b, of different labels, and near by their sketches."""
+    side = lambda k: rows.select(key, *[F.col(c).alias(f"{c}_{k}") for c in {"node", "label", "spare", "look", by}])
+    return side("a").join(side("b"), key).where((F.col(f"{by}_a") < F.col(f"{by}_b")) & (F.col("label_a") != F.col("label_b")) & near("look_a", "look_b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = docs.sparkSession
-    partitions = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Words, and so signatures, are told from the texts' length: a sixth of it, nine signatures for ten words.
+    chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars * 3 // 20 // TASK_SIGNATURES))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
     known = met.where("sig is null").select("node", "doc_id", "n_shingles", "least", *SKETCH, "fine")
     shared = met.where("sig is not null").select("sig", "node", "shared")
@@ -339,45 +329,64 @@ def classes(docs: DataFrame) -> DataFrame:
     look = F.struct(F.col("n_shingles").alias("n"), *SKETCH)
     least = known.where("least > 0").groupBy("node").agg(F.min(F.struct("least", look.alias("look"))).alias("m")).select("node", "m.least", "m.look")
     nodes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_if(F.col("shared") > HOT).alias("hot"))
-    nodes = saved(nodes.join(least, "node").withColumn("spare", F.col("least") - F.col("hot")))
+    n = F.col("look.n")
+    # Saturated: a partner may share hot signatures alone.  Where a weak set has a hot signature, all sets with that count as such.
+    flags = {"spare": F.col("least") - F.col("hot"), "weak": F.col("least") < usual(n), "saturated": F.col("hot") >= usual(F.floor(n * 3 / 4))}
+    nodes = saved(nodes.join(least, "node").withColumns(flags).drop("least", "hot"))
 
     fine = known.where("fine is not null").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("fine").alias("fine"))
     fine = saved(fine)
 
     # Round one: the leader of a signature is its node with most shared signatures.
     rich = shared.join(nodes.select("node", "degree"), "node")
-    lead = rich.groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    lead = saved(rich.groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")))
     met_leaders = shared.join(lead, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("node").orderBy(F.desc("n"), "leader")
     looks = nodes.select("node", "look", "spare")
-    fit = met_leaders.join(looks, "node").join(looks.select(F.col("node").alias("leader"), F.col("look").alias("look2"), F.col("spare").alias("spare2")), "leader")
-    fit = fit.where(near("look", "look2") & (F.col("n") >= F.least("spare", "spare2")))
+    fit = met_leaders.join(looks, "node").join(looks.select(F.col("node").alias("leader"), F.col("look").alias("look2")), "leader").where(near("look", "look2"))
     fit = saved(fit.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("node", "leader", "k"))
     able = sketched(fit.select(F.col("node").alias("a"), F.col("leader").alias("b")), fine)
     # of those that their sketches allow the best one: nearly always a link
     able = able.join(fit, (F.col("a") == F.col("node")) & (F.col("b") == F.col("leader"))).groupBy("node").agg(F.min_by("leader", "k").alias("leader"))
     first = saved(able.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    links = saved(checked(first, sets_of(docs, first.select(F.col("a").alias("node")).union(first.select("b")), known)))
-    part = components(links)
-
-    # Round two: candidates of different components.
-    placed = shared.join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = placed.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig")
-    open_ = saved(placed.join(several, "sig", "left_semi").join(looks, "node"))
-    side = lambda rows, k: rows.select("sig", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "spare", "look")])
-    apart = (F.col("label_a") != F.col("label_b")) & near("look_a", "look_b")
-    cold = open_.where(F.col("shared") <= HOT)
-    pairs = side(cold, "a").join(side(cold, "b"), "sig").where((F.col("node_a") < F.col("node_b")) & apart)
-    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.least(F.min("spare_a"), F.min("spare_b")).alias("need"))
+    sets = sets_of(docs, _nodes(first), known)
+    links = saved(checked(first, sets))
+    discard(sets)
+    part = connected(links)
+
+    def placed(rows: DataFrame, key: str, part: DataFrame) -> DataFrame:
+        """rows with their nodes' labels, of keys that nodes of several components have."""
+        out = rows.join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = out.groupBy(key).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select(key)
+        return out.join(several, key, "left_semi")
+
+    # Hot signatures: saturated nodes meet by their differences from the signature's leader.
+    warm = placed(shared.where(F.col("shared") > HOT), "sig", part).join(nodes.select("node", "weak", "saturated"), "node").join(lead, "sig")
+    any_weak = warm.where("weak").select("sig").distinct().withColumn("touched", F.lit(True))
+    warm = warm.join(any_weak, "sig", "left").where("saturated or touched")
+    members = saved(warm.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    alike = None
+    if members.limit(1).count():
+        sets = sets_of(docs, _nodes(members), known)
+        keyed = saved(by_differences(members, sets, 8 * partitions))
+        discard(sets)
+        links = links.union(keyed.where("a is not null").select("a", "b"))
+        part = connected(links)
+        keys = keyed.where("a is null").select("bucket", "sigs", "nodes", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("array<binary>").alias("fine"))
+        again = saved(meet(keys, partitions, sides=True).select(F.shiftright("sig", 1).alias("sig"), F.col("sig").bitwiseAND(1).alias("side"), "node"))
+        alike = _sides(placed(again, "sig", part).join(looks, "node"), "sig", "side").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    # Other signatures: candidates of different components.
+    cold = _sides(placed(shared.where(F.col("shared") <= HOT), "sig", part).join(looks, "node"), "sig")
+    pairs = cold.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.least(F.min("spare_a"), F.min("spare_b")).alias("need"))
     pairs = pairs.where("n >= need").select("a", "b")
-    # Where all spare signatures are hot, the hot ones count.
-    warm = open_.where(F.col("shared") > HOT)
-    dense = side(warm.where("spare <= 0"), "a").join(side(warm, "b"), "sig").where((F.col("node_a") != F.col("node_b")) & apart)
-    dense = dense.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    second = saved(sketched(pairs.union(dense).distinct().join(first, ["a", "b"], "left_anti"), fine))
+    pairs = pairs if alike is None else pairs.union(alike).distinct()
+    second = saved(sketched(pairs.join(first, ["a", "b"], "left_anti"), fine))
     if second.limit(1).count():
-        more = checked(second, sets_of(docs, second.select(F.col("a").alias("node")).union(second.select("b")), known))
-        part = components(links.union(more))
+        sets = sets_of(docs, _nodes(second), known)
+        more = saved(checked(second, sets))
+        discard(sets)
+        part = connected(links.union(more))
 
     # Components are named by their least document.
     named = known.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"))
