@@ -2,12 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents (the last one ids), and is
 written as Parquet and read again as the next one's docs.
+
+Defined cases, in all stages: null and empty texts have no words, so the quality rules reject them, and in the
+other stages they are linked with nothing, have size 0 (the mix takes them as its source's threshold says) and no
+ids; a null doc_id is an id like any other; of rows equal in doc_id and text near-duplicates keep one, while
+different texts under one doc_id are judged each; ties go to the least doc_id and then to the text's hash; very
+long texts are worked on whole; empty tables give empty tables; extra columns, whatever their names, come
+through (encoding alone returns its own).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, jaccard, mixing, quality
@@ -20,22 +27,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id; of rows that repeat one, one."""
-    found = saved(jaccard.classes(docs))
-    stay = saved(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
-    kept = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    if not stay.where("times > 1").limit(1).count():
-        return kept.select(*docs.columns)
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text")
-    repeated = kept.where("times > 1").withColumn("__k", F.row_number().over(one)).where("__k = 1")
-    return kept.where("times = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    """One document of each group of near-duplicates, that of the least doc_id; documents without words stay."""
+    return jaccard.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    rows = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    mixed = mixing.mix(rows, carry=["__row"]).where("times > 0")
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("__row.*")
+    """Each document as often as the mix takes it; rows with one doc_id are taken together."""
+    mixed = mixing.mix(docs, carry=docs.columns).where("times > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
