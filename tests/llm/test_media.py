@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -82,3 +83,15 @@ def test_tiles_are_npy(spark, odd_documents, tmp_path):
     media.write_tiles(media.describe_media(media.texts_to_media(odd_documents), ["doc_id"]), str(tmp_path / "t"))
     tiles = spark.read.parquet(str(tmp_path / "t")).select(F.col("tile")).collect()
     assert len(tiles) == 14 and all(np.load(io.BytesIO(bytes(r[0]))).shape == (16, 16) for r in tiles)
+
+
+def test_broken_media_give_errors(spark):
+    big = 10**11
+    rle = struct.pack("<2sIHHI", b"BM", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2**30, 2**30, 1, 8, 1, 0, 0, 0, 0, 0)
+    broken = [
+        b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P2 1 1 255 x", b"P4 %d %d 0" % (big, big), b"P5 %d %d 255 0" % (big, big), b"P1 2 1 1 7", rle,
+        b"P6 2 2 255 ab", b"", b"BM", b"BM" + bytes(52), rle[:14] + struct.pack("<IiiHHIIiiII", 40, 5, 5, 1, 3, 0, 0, 0, 0, 0, 0), b"P5 " + b"9" * 5000,
+    ]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(broken)], "id long, media binary")
+    rows = media.describe_media(df, ["id"]).collect()
+    assert len(rows) == len(broken) and all(r["error"] and r["height"] is None and r["tile"] is None for r in rows)

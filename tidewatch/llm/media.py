@@ -4,7 +4,8 @@ Images are decoded by hand (P1 to P6 at 8 or 16 bits; BMP of 1, 4, 8, 16, 24 and
 uncompressed, bit fields or RLE8), resized by exact area averages taken from an integral image,
 and given a 64-bit difference hash.  The resized tile is kept as NPY bytes.
 
-Defined cases: null or undecodable media give null shape, hash and tile and an error text; a null
+Defined cases: null or undecodable media give null shape, hash and tile and an error text, also where the
+header declares more pixels than the bytes can hold (or runs more than MAX_RLE_PIXELS); a null
 text is stored as an empty one (one row of 64 zero samples); repeated rows give repeated rows;
 columns other than those named are ignored, whatever their names.
 """
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import row_groups, table
+from tidewatch.llm.common import row_groups, shared_dir, table
 
 WIDTH = 64
+#: Pixels that a BMP image of runs may declare; larger ones give an error text.
+MAX_RLE_PIXELS = 1 << 26
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -68,11 +71,18 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("bad header")
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = w * h * depth
+    if n > 8 * len(data):  # a sample takes a bit at least
+        raise ValueError("short raster")
     if kind == b"P1":
         bits = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n]
+        if bits.strip(b"01"):
+            raise ValueError("bad sample")
         out = 1 - (np.frombuffer(bits, np.uint8) - 48)
     elif kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.uint8 if top < 256 else np.uint16)
+        values = re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n]
+        if any(len(v) > 5 or not v.isdigit() or int(v) > top for v in values):
+            raise ValueError("bad sample")
+        out = np.array(values, np.uint8 if top < 256 else np.uint16)
     elif kind == b"P4":
         stride = (w + 7) // 8
         rows = np.frombuffer(data, np.uint8, stride * h, at + 1).reshape(h, stride)
@@ -119,8 +129,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
     at, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     w, h, _, bits, packing, _, _, _, used = struct.unpack_from("<iiHHIIiiI", data, 18)
     flip, h = h > 0, abs(h)
-    if w < 1 or h < 1 or packing not in (0, 1, 3):
+    if w < 1 or h < 1 or packing not in (0, 1, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packing == 1 and bits != 8):
         raise ValueError("bad header")
+    if w * h > (MAX_RLE_PIXELS if packing == 1 else 8 * len(data)):  # runs may end early, so their bytes tell nothing
+        raise ValueError("image too large for its bytes" if packing != 1 else f"more than {MAX_RLE_PIXELS} pixels by runs")
     stride = (w * bits + 31) // 32 * 4
     if packing == 1:
         rows = _rle8(data[at:], w, h)
@@ -209,7 +221,7 @@ def describe_media(df: DataFrame, keep: list[str], media_col: str = "media", til
         held = (len(media), hashlib.sha256(media).hexdigest())
         try:
             image = decode(media)
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, OverflowError) as e:
             return (None,) * 6 + held + (None, None, str(e) or "undecodable")
         raw = np.ascontiguousarray(image).tobytes()
         return (image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), *held, difference_hash(image), npy_tile(image, tile_side), None)
@@ -231,8 +243,10 @@ def write_tiles(described: DataFrame, path: str) -> None:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents as a PGM, read back, with its hash as the feature and the digest of its NPY tile."""
-    described = describe_media(texts_to_media(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+    """Every text of documents as a PGM, written and read back, with its hash as the feature and the digest of its NPY tile."""
+    path = shared_dir(spark)
+    texts_to_media(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    described = describe_media(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path), ["doc_id", "n_bytes"])
     return described.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"),
         F.sha2("tile", 256).alias("tile_sha256"),
