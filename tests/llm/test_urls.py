@@ -14,13 +14,14 @@ def test_cascade_is_exact():
 
 
 def test_shards_and_both_ways_of_marking(spark, monkeypatch):
-    df = spark.range(3000).select((F.col("id") % 700).cast("string").alias("key"), F.lit(1).alias("__h1"))
+    df = spark.range(3000).select((F.col("id") % 700).cast("string").alias("key"), F.lit(1).alias("__h"), F.lit("s").alias("hash"), F.lit(2).alias("Shard"), F.lit(3).alias("salt"))
     cascades = urls.build(df, "key", F.col("key").cast("int") % 7 == 0, n_keys=3 * urls.KEYS_A_SHARD)
     assert cascades.count() == 3
     want = {(str(k), k % 7 == 0) for k in range(700)}
     for most in (urls.BROADCAST_BYTES, 0):
         monkeypatch.setattr(urls, "BROADCAST_BYTES", most)
         got = urls.mark(df, "key", cascades, "listed")
+        assert got.columns == [*df.columns, "listed"] and got.select("__h", "hash", "Shard", "salt").distinct().collect() == [(1, "s", 2, 3)]
         assert got.count() == 3000 and {(r["key"], r["listed"]) for r in got.collect()} == want
 
 
@@ -46,3 +47,15 @@ def test_parsing_and_rules(spark):
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "key string")
     assert urls.mark(empty, "key", urls.build(empty, "key", F.lit(True)), "x").count() == 0
+
+
+def test_listed_domains(spark):
+    hosts = ["free-bets.example.net", "www.m.free-bets.example.net", "xfree-bets.example.net", "bets.example.net", "free-bets.example.net.org", "example.net", "net", ""]
+    keys = spark.createDataFrame([("free-bets.example.net",), ("org",)], "key string")
+    got = {r["host"]: r["listed"] for r in urls.with_listed(spark.createDataFrame([(h,) for h in hosts], "host string"), keys).collect()}
+    assert [h for h in hosts if got[h]] == [hosts[0], hosts[1], hosts[4]]
+
+
+def test_query_without_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert urls.op9_url_filter(spark, f"file://{tmp_path}").collect() == []

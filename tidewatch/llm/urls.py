@@ -5,12 +5,16 @@ positives; level 2 holds those.  Listed keys that pass level 2 are in level 3, a
 false positive is left.  As the whole universe of keys went into the building, the first level that a
 key fails tells whether it is listed, without error for any key of the corpus.
 
+The list is a table of exact keys.  The query's keys are domains, listed with all that is below them: a
+host of the corpus is a listed key of the cascade if it or a domain above it is in the table.
+
 Keys are dealt into shards by hash, and each shard has a cascade of its own, so no task and no filter
 holds all keys.  The cascades are broadcast while they take at most BROADCAST_BYTES together; beyond
 that each row meets its shard's cascade by a co-grouping of shards.
 
-Defined cases: null urls, and those without ://, have an empty host and path; an empty table gives
-no rows; repeated rows give repeated rows; extra columns are ignored.
+Defined cases: null urls, and those without ://, have an empty host and path; null keys count as empty
+ones; an empty table gives no rows; repeated rows give repeated rows; very long urls are taken whole; extra
+columns come through mark() unharmed, whatever their names, and the query ignores them.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import lower_ascii, saved, table
+from tidewatch.llm.common import lower_ascii, saved, table, unused
 
 #: Fixed by the contract: allowed and blocked hosts with the starts of paths.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: Parts of host labels (between hyphens) by which the query lists hosts.
-LISTED_PARTS = ("adult", "ads", "bets", "casino", "pills", "spam")
+#: The query's list: exact keys, domains that are listed with all below them.  Any table of keys can take its place.
+LISTED_DOMAINS = tuple(f"{name}.example.{zone}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org"))
 
 KEYS_A_SHARD = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -103,7 +107,8 @@ def mark(df: DataFrame, key_col: str, cascades: DataFrame, out_col: str) -> Data
     spark = df.sparkSession
     size, shards = cascades.agg(F.coalesce(F.sum(F.length("cascade")), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
     h = F.xxhash64(F.coalesce(F.col(key_col), F.lit("")))
-    hashed = df.withColumn("__h", h)
+    hash_col, shard_col, salt_col = (unused(df, c) for c in ("hash", "shard", "salt"))
+    hashed = df.withColumn(hash_col, h)
     names, schema = df.columns, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{out_col}` boolean"])
     if size <= BROADCAST_BYTES:
         held = spark.sparkContext.broadcast({r["shard"]: r["cascade"] for r in cascades.toLocalIterator()})
@@ -121,15 +126,15 @@ def mark(df: DataFrame, key_col: str, cascades: DataFrame, out_col: str) -> Data
         return hashed.mapInArrow(run, schema)
 
     # a shard's rows are salted, so that a hot key's rows don't meet in one task
-    salted = hashed.withColumn("__s", F.pmod("__h", F.lit(shards)).cast("int")).withColumn("__t", F.floor(F.rand(7) * 64).cast("int"))
+    salted = hashed.withColumn(shard_col, F.pmod(hash_col, F.lit(shards)).cast("int")).withColumn(salt_col, F.floor(F.rand(7) * 64).cast("int"))
     sides = cascades.select("shard", "cascade", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("t"))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = left[names].copy()
-        out[out_col] = in_cascade(pickle.loads(right["cascade"].iloc[0]) if len(right) else [], left["__h"].to_numpy().view(np.uint64))
+        out[out_col] = in_cascade(pickle.loads(right["cascade"].iloc[0]) if len(right) else [], left[hash_col].to_numpy().view(np.uint64))
         return out
 
-    return salted.groupBy("__s", "__t").cogroup(sides.groupBy("shard", "t")).applyInPandas(both, schema)
+    return salted.groupBy(shard_col, salt_col).cogroup(sides.groupBy("shard", "t")).applyInPandas(both, schema)
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -149,23 +154,33 @@ def ruled(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def listed_host(host: Column) -> Column:
-    """Does a label of the host have a listed part."""
-    return host.rlike(rf"(^|[.-])({'|'.join(LISTED_PARTS)})([.-]|$)")
+def domains(host: Column) -> Column:
+    """The host and all domains above it."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def with_listed(hosts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct hosts (column host) with listed: is the host or a domain above it among the keys (column key)."""
+    found = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).join(keys.select("key"), "key", "left_semi").select("host").distinct()
+    return hosts.join(found.withColumn("listed", F.lit(True)), "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, path = parsed(F.col("url").cast("string"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    hosts = pages.select("host").distinct()
-    cascades = build(hosts, "host", listed_host(F.col("host")))
+    keys = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
+    cascades = build(with_listed(pages.select("host").distinct(), keys), "host", F.col("listed"))
     rule, verdict = ruled(F.col("host"), F.col("path"))
     judged = mark(pages, "host", cascades, "listed")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 OP9_SQL = r"""
-with parsed as (
+with listed as (
+  select name || '.example.' || zone as key
+  from (select unnest(['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) as name), (select unnest(['com', 'net', 'org']) as zone)),
+parsed as (
   select page_id,
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
@@ -177,9 +192,11 @@ ruled as (
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
     when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
-  from parsed)
+  from parsed),
+labels as (select distinct host, string_split(host, '.') as parts from parsed),
+above as (select host, array_to_string(parts[i:], '.') as key from (select host, parts, unnest(range(1, len(parts) + 1)) as i from labels))
 select page_id, host, path, rule,
        case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block'
-            when regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') then 'block' else 'allow' end as verdict
+            when host in (select host from above where key in (select key from listed)) then 'block' else 'allow' end as verdict
 from ruled
 """
