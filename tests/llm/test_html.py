@@ -1,6 +1,8 @@
 import html
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -103,3 +105,58 @@ def test_dropped_lines_and_copies_do_not_stop_differencing(spark):
     pages = [(f"/a/{k}", t) for k, t in enumerate(own)] + [("/a/1/print", own[1] + "</div><div>Print view")]
     printed = extracted(spark, [(k, f"http://h.com{path}", f"<div>Header of the site</div><div>{t}</div>") for k, (path, t) in enumerate(pages)])
     assert printed == {**dict(enumerate(own)), 4: own[1] + "\n\nPrint view"}
+
+
+@pytest.mark.parametrize("page", ["<div " * 200_000, "<a " * 330_000, "<div>x</span></p>" * 60_000, "<a>" * 80_000 + "<p>x</p>" * 80_000, '<a ">" ' * 140_000, "<script " * 120_000 + ">", "<!-- " * 200_000, "<div class='ad'>" * 60_000 + "<main>x</main>" * 60_000])
+def test_broken_long_pages_take_linear_time(page):
+    began = time.process_time()
+    H.page_lines(page)
+    assert time.process_time() - began < 8 * max(1, len(page) / 1e6)
+
+
+def brute_text(pages):
+    """Pairing and deletion by comparing all pages of a host, on lines that markup leaves undecided."""
+    lines = {k: [t for t, d, _ in H.page_lines(p) if not d] for k, _, p in pages}
+
+    def lcs(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    out = {}
+    for k, url, _ in pages:
+        path = url.split("/", 3)[3]
+        near = [(len(os.path.commonprefix([path, u.split("/", 3)[3]])), j) for j, u, _ in pages if j != k and u.split("/")[2] == url.split("/")[2]]
+        best = max((n for n, _ in near), default=None)
+        out[k] = {len(lines[k]) - lcs(lines[k], lines[j]) for n, j in near if n == best} or {len(lines[k])}
+    return lines, out
+
+
+def test_pairing_and_deletion_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        host, path = rng.choice(["a.com", "b.com"]), "/".join(rng.choice("xyz") for _ in range(3)) + f"/{k}"
+        top = [f"Header line {rng.randint(0, 2)}", f"Menu {path[0]}"]
+        own = [f"Own words of page {k}, line {i}, which are longer than all the rest of it taken together" for i in range(rng.randint(1, 3))]
+        rows.append((k, f"http://{host}/{path}", "".join(f"<div>{t}</div>" for t in [*top, *own, f"Footer of {host}"])))
+    lines, left = brute_text(rows)
+    for k, t in extracted(spark, rows).items():
+        stay = t.split("\n\n") if t else []
+        it = iter(lines[k])
+        assert all(any(x == y for y in it) for x in stay) and len(stay) in left[k]
+        assert [x for x in stay if x.startswith("Own")] == [x for x in lines[k] if x.startswith("Own")]
+
+
+def test_markup_without_names(spark):
+    """Pages of plain divs: what a site repeats goes by differencing alone."""
+    rows = [(k, f"http://h.com/n/{k}", f"<div>Site name</div><div>Home</div><div><h1>Title {k}</h1><p>Body of page {k}, {'and more ' * 5}{k}</p></div><div>Imprint</div>") for k in range(12)]
+    got = extracted(spark, rows)
+    assert got == {k: f"Title {k}\n\nBody of page {k}, {'and more ' * 5}{k}" for k in range(12)}
+
+
+def test_null_and_empty_are_apart(spark):
+    rows = [(1, None, "<p>x</p>"), (2, "<p>x</p>", None), (3, "", "<p>x</p>"), (4, None, None)]
+    assert extracted(spark, rows) == {1: "x", 2: "", 3: "x", 4: ""}

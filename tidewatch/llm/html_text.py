@@ -9,10 +9,12 @@ the other lines are compared.  Pages are copies where one shares over half of it
 other; if all others are copies, nothing is deleted.
 
 The sorted pages are dealt out by ranges, so a large host is spread over tasks; pages at the ends of
-ranges (two a task) meet those of other ranges on the driver; pages between meet their own range's.
+ranges (two a task) meet those of other ranges in one task of their own; pages between meet their own range's.
 
 Defined cases: null html gives an empty text; a null url has an empty host and path; pages of one
-host with the same lines count as one page; an empty table gives no rows; extra columns are ignored.
+host with the same lines count as one page; of two equally near pages the one before counts; very long and
+broken pages are scanned whole, in time that grows with their length (tags never closed are text; a tag whose
+quotes don't pair up ends at the next >); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,20 +25,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import row_groups, saved, table
 from tidewatch.llm.urls import parsed
 
 _PARTS = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|title|object|math)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)
+    r"""<!--.*?(?:-->|(?P<open>)\Z)
+    |<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|title|object|math)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*(?P<rest>)\Z)
     |<(?P<close>/?)(?P<tag>[a-z][\w:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>
-    |</?[a-z][^>]*>|<[!?][^>]*>
+    |(?P<torn></?[a-z][^>]*>)|<[!?][^>]*>
     |[^<]+|<""",
     re.X | re.S | re.I,
 )
+#: Where quotes don't pair up: a tag ends at the next >.
+_PLAIN = re.compile(
+    r"""<!--.*?(?:-->|(?P<open>)\Z)
+    |<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|title|object|math)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*(?P<rest>)\Z)
+    |<(?P<close>/?)(?P<tag>[a-z][\w:-]*)(?P<attrs>[^>]*)>
+    |<[!?][^>]*>
+    |[^<]+|<""",
+    re.X | re.S | re.I,
+)
+_TEXT = re.compile(r"<!--.*\Z|[^<]+|<", re.S)
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _INLINE = frozenset(("a", "button", "head", "ins", "span"))
 _SKIPPED = frozenset("nav footer aside form head button dialog menu".split())
@@ -61,11 +73,33 @@ def _odd(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _parts(page: str) -> Iterator[re.Match]:
+    """Text, tags and the like in order, in time that grows with the page.
+
+    Behind the last > there is text alone (or a raw element), so no search for one fails twice; once the
+    quotes of a tag turn out not to pair up, quotes are passed over in the rest of the page.
+    """
+    last = page.rfind(">") + 1
+    at, m = last, None
+    for m in _PARTS.finditer(page, 0, last):
+        if m["torn"]:
+            at = m.start()
+            break
+        yield m
+    if at < last:
+        for m in _PLAIN.finditer(page, at, last):
+            yield m
+    if m is None or (m["open"] is None and m["rest"] is None):
+        yield from _TEXT.finditer(page, last)
+
+
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
     """(text, dropped by markup, within an article or main element) for each block, in page order."""
     out: list[tuple[str, bool, bool]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, dropped, article or main
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: tag, dropped, article or main, inline ones up to here
+    count: dict[str, int] = {}  # open elements by tag
+    drops: list[int] = []  # places of dropped elements
     dropped = inside = 0
 
     def flush() -> None:
@@ -77,13 +111,16 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
 
     def close(n: int) -> None:
         nonlocal dropped, inside
-        for _, drop, main in stack[n:]:
+        for tag, drop, main, _ in stack[n:]:
             dropped -= drop
             inside -= main
+            count[tag] -= 1
+            if drop:
+                drops.pop()
         del stack[n:]
 
-    for m in _PARTS.finditer(page):
-        if m["tag"] is None:
+    for m in _parts(page):
+        if m.re is _TEXT or m["tag"] is None:
             part = m[0]
             if part[0] != "<" or part == "<":
                 buffer.append(part)
@@ -95,7 +132,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if not block and tag not in _INLINE:
             continue
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if count.get(tag) else -1
             if block or (at >= 0 and stack[at][1]):
                 flush()
             if at >= 0:
@@ -106,15 +143,16 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if block or drop:
             flush()
         if block:  # a paragraph ends where a block starts, an item where the next one does
-            k = len(stack)
-            while k and stack[k - 1][0] in _INLINE:
-                k -= 1
+            k = len(stack) - (stack[-1][3] if stack else 0)
             if k and (stack[k - 1][0] == "p" or stack[k - 1][0] == tag == "li"):
                 close(k - 1)
         if main and dropped:  # something dropped was never closed
-            close(next(i for i, x in enumerate(stack) if x[1]))
+            close(drops[0])
         if tag != "hr" and not attrs.endswith("/"):
-            stack.append((tag, drop, main))
+            if drop:
+                drops.append(len(stack))
+            stack.append((tag, drop, main, (stack[-1][3] if stack else 0) + 1 if tag in _INLINE else 0))
+            count[tag] = count.get(tag, 0) + 1
             dropped += drop
             inside += main
     flush()
@@ -192,6 +230,11 @@ def _compared(pages: list[tuple]) -> Iterator[tuple[list[int], int]]:
 _LINES = "k long, host string, path string, hashes array<long>, sizes array<int>, undecided array<boolean>"
 
 
+def _key() -> Column:
+    """Names a page by its url and html, null apart from empty."""
+    return F.xxhash64(F.col("url").isNull(), F.coalesce("url", F.lit("")), F.col("html").isNull(), F.coalesce("html", F.lit("")))
+
+
 def line_signatures(pages: DataFrame) -> DataFrame:
     """k (a hash of url and html), host, path and for each line its hash, length and whether markup leaves it undecided."""
     import xxhash
@@ -209,7 +252,7 @@ def line_signatures(pages: DataFrame) -> DataFrame:
                 undecided.append([not d for _, d, _ in lines])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(undecided, pa.list_(pa.bool_()))], ["k", "host", "path", "hashes", "sizes", "undecided"])
 
-    return pages.select(F.xxhash64("url", "html").alias("k"), host.alias("host"), path.alias("path"), "html").mapInArrow(run, _LINES)
+    return pages.select(_key().alias("k"), host.alias("host"), path.alias("path"), "html").mapInArrow(run, _LINES)
 
 
 def shared_lines(signatures: DataFrame) -> DataFrame:
@@ -238,9 +281,17 @@ def shared_lines(signatures: DataFrame) -> DataFrame:
 
     found = saved(placed.mapInArrow(run, schema))
     # Two rows a task at most: pages across the ends of ranges, outwards up to the first that is no copy.
-    edges = sorted(found.where("edge > 0").collect(), key=lambda r: (r["part"], r["edge"] == 2))
-    better = {}
+    edges = found.where("edge > 0").select(*found.columns).repartition(1).sortWithinPartitions("part", F.col("edge") == 2)
+    over = edges.mapInArrow(_across, "g long, instead array<int>")
+    by_group = found.select("g", "shared").join(over, "g", "left").select("g", F.coalesce("instead", "shared").alias("shared")).where(F.size("shared") > 0)
+    return signatures.select("k", "g").join(by_group, "g").select("k", "shared").groupBy("k").agg(F.min("shared").alias("shared"))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the first and last pages of ranges, in order: lines to delete, where a page of another range is nearer than the own range's."""
+    edges = [r for b in batches for r in b.to_pylist()]
     lines = [tuple(np.array(r[x], y) for x, y in (("hashes", np.int64), ("sizes", np.int64), ("undecided", bool))) for r in edges]
+    better: dict[int, tuple[int, list[int]]] = {}
     for i, x in enumerate(edges):
         for step, side in ((-1, 1), (1, 2)):
             j = i + step
@@ -253,9 +304,7 @@ def shared_lines(signatures: DataFrame) -> DataFrame:
                     better[x["g"]] = (near, shared)
                     break
                 j += step
-    over = F.broadcast(spark.createDataFrame([(g, s) for g, (_, s) in better.items()], "g long, instead array<int>"))
-    by_group = found.select("g", "shared").join(over, "g", "left").select("g", F.coalesce("instead", "shared").alias("shared")).where(F.size("shared") > 0)
-    return signatures.select("k", "g").join(by_group, "g").select("k", "shared").groupBy("k").agg(F.min("shared").alias("shared"))
+    yield pa.RecordBatch.from_arrays([pa.array(list(better), pa.int64()), pa.array([s for _, s in better.values()], pa.list_(pa.int32()))], ["g", "instead"])
 
 
 #: Pages with deleted lines up to which their positions are broadcast; beyond, pages are joined by shuffles.
@@ -267,7 +316,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     shared = saved(shared_lines(line_signatures(pages)))
     few = shared.agg(F.coalesce(F.sum(F.size("shared") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_PAGES
-    keyed = pages.withColumn("k", F.xxhash64("url", "html")).join(F.broadcast(shared) if few else shared, "k", "left").select("page_id", "url", "html", "shared")
+    keyed = pages.withColumn("k", _key()).join(F.broadcast(shared) if few else shared, "k", "left").select("page_id", "url", "html", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
