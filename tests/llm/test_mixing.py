@@ -52,3 +52,8 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert len(rows) == 14 and all(r["taken"] <= 3 * r["size"] for r in rows)
     assert len({r["taken"] for r in rows if r["doc_id"] == 1}) == 1
     assert mixing.mix(no_documents).count() == 0
+    names = ["size", "h", "times", "row", "source", "doc_id", "text"]
+    clash = odd_documents.withColumns({"h": F.lit(1), "times": F.lit("t"), "row": F.lit(2), "S": F.lit(3)})
+    kept = mixing.mix(clash, carry=names)
+    assert kept.select("row.*").columns == names and kept.count() == 14
+    assert sorted((r["doc_id"], r["taken"]) for r in kept.collect() if r["doc_id"]) == sorted((r["doc_id"], r["taken"]) for r in rows if r["doc_id"])

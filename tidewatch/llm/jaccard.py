@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def usual(n: Column) -> Column:
     return F.floor(n / 64) + 1
 
 
-_DOC = 13  # columns: doc_id, whether it is null, node, set size, least shared, sketch
+_DOC = 14  # columns: doc_id, whether it is null, node, set size, least shared, sketch, text key
 _SIGNED = ["bucket", "sigs", "nodes", "docs", "fine"]
 SIGNED = "bucket long, sigs binary, nodes binary, docs binary, fine array<binary>"
 
@@ -109,7 +110,7 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
                             sig, least = signatures(s)
                             packer.add(sig, node)
                     fine.append(fine_sketch(s) if least > 0 else None)
-                    info.append((d or 0, d is None, node, len(s), least, *sketch(s).tolist()))
+                    info.append((d or 0, d is None, node, len(s), least, *sketch(s).tolist(), text_key(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([info[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(info, np.int64).tobytes()], pa.binary()), pa.array([fine], pa.list_(pa.binary()))], _SIGNED)
                 if packer.held > FLUSH:
                     yield packer.flush()
@@ -119,11 +120,17 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
+def text_key(text: str | None) -> int:
+    """Spark's xxhash64 of the text, null as an empty one."""
+    x = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)
+    return x - 2**64 if x >= 2**63 else x
+
+
 def pc_lengths(texts: pa.Array) -> list[int]:
     return text_lengths(texts.fill_null(""))
 
 
-_MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH) + ", fine binary"
+_MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH) + ", text_key long, fine binary"
 
 
 def meet(signed: DataFrame, partitions: int, sides: bool = False) -> DataFrame:
@@ -175,7 +182,7 @@ def meet(signed: DataFrame, partitions: int, sides: bool = False) -> DataFrame:
             s, n, shared = s[several], n[several], shared[several].astype(np.int32)
         for lo in range(0, len(s), 100_000):
             m = len(s[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 8, pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 9, pa.nulls(m, pa.binary())], names)
 
     return signed.repartition(partitions, "bucket").mapInArrow(run, _MET)
 
@@ -315,14 +322,14 @@ def _sides(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
     return side("a").join(side("b"), key).where((F.col(f"{by}_a") < F.col(f"{by}_b")) & (F.col("label_a") != F.col("label_b")) & near("look_a", "look_b"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (see text_key()), n_shingles, component_id, label (of the component; null without words) for every document."""
     spark = docs.sparkSession
     # Words, and so signatures, are told from the texts' length: a sixth of it, nine signatures for ten words.
     chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars * 3 // 20 // TASK_SIGNATURES))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
-    known = met.where("sig is null").select("node", "doc_id", "n_shingles", "least", *SKETCH, "fine")
+    known = met.where("sig is null").select("node", "doc_id", "text_key", "n_shingles", "least", *SKETCH, "fine")
     shared = met.where("sig is not null").select("sig", "node", "shared")
 
     # How often a node shares a signature, how many of its signatures are hot, and what it looks like.
@@ -392,9 +399,35 @@ def classes(docs: DataFrame) -> DataFrame:
     named = known.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"))
     named = named.join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tops = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = named.join(tops, "label").select("node", "n", "component_id")
-    out = known.select("node", "doc_id", "n_shingles").join(named.where("n > 0").select("node", "component_id"), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(tops, "label").select("node", "n", "component_id", "label")
+    out = known.select("node", "doc_id", "text_key", "n_shingles").join(named.where("n > 0").select("node", "component_id", "label"), "node", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document."""
+    return members(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one, with the least doc_id and then text key.
+
+    Rows without words are all kept, as they are linked with nothing.  Rows are told apart by doc_id and text, so
+    different texts under one doc_id, or under none, are judged each; of rows equal in both one is kept.
+    """
+    found = saved(members(docs))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    best = found.where("label is not null").groupBy("label").agg(F.min(rank).alias("best"))
+    judged = found.where("label is not null").join(best, "label").withColumn("stays", rank == F.col("best"))
+    keys = saved(judged.groupBy(F.col("doc_id").alias("id"), "text_key", "stays").agg(F.count(F.lit(1)).alias("times")).where("not stays or times > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key"))
+    kept = rows.join(keys, same, "left_anti")
+    repeated = keys.where("stays")
+    if repeated.limit(1).count():
+        one = rows.join(repeated, same, "left_semi").groupBy("own_id", "key").agg(F.min("row").alias("row"))
+        kept = kept.select("row").unionByName(one.select("row"))
+    return kept.select("row.*")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ twice, or three times) and the hash decides on the rest.
 
 Defined cases: null texts have size 0; documents without a source are a source of their own, last in
 the order of sources; documents with the same id share a hash and are taken together; an empty table
-gives no rows; extra columns are ignored.  The last bucket is one hash: it is taken if that brings
+gives no rows; very long texts are counted whole; extra columns are ignored, whatever their names.  The last bucket is one hash: it is taken if that brings
 the source nearer to its target.
 """
 
@@ -56,9 +56,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), times (how often the document is taken).
 
-    carry names further columns of docs to keep.
+    carry names columns of docs to keep, as one struct column `row`.  Only ids, sources, sizes and hashes are
+    written on the way; with carry, rows are read again and filtered by their thresholds.
     """
-    sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), hash60(F.col("doc_id")).alias("h"), *(carry or [])))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), hash60(F.col("doc_id")).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    sized = saved(rows.drop("row"))
     by_bucket = saved(sized.groupBy("source", F.shiftright("h", BITS * (LEVELS - 1)).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
     sources = saved(targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
     few = sources.count() <= BROADCAST_SOURCES
@@ -81,8 +83,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     edge = state.select(F.col("s"), F.when(2 * F.col("left") >= F.col("words"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
     plan = saved(sources.join(hint(edge), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "below", whole.alias("whole"), (F.col("target") > whole * F.col("source_size")).alias("more")))
     times = F.col("whole") + F.when(F.col("more") & (F.col("below").isNull() | (F.col("h") < F.col("below"))), 1).otherwise(0)
-    out = sized.join(hint(plan), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.cast("int").alias("times"), *(carry or []))
+    out = (rows if carry else sized).join(hint(plan), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.cast("int").alias("times"), *(["row"] if carry else []))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
