@@ -5,10 +5,12 @@ signatures; sets that link share some.
 
 Signatures shared by more than HOT sets (a passage that many documents hold, or a large group of
 copies) are not paired up.  As a linked pair shares several signatures, it is found by the others unless as
-many of a set's are hot.  Such sets are compared with the leader of each of their hot signatures (the set with
-most shared signatures: the original in a group of copies), and then meet by keys of their differences from
-that leader (shingle_sets.difference_keys()): sets that link with it are one component already, and of
-others only those whose differences are alike meet.
+many of a set's are hot: the set is saturated.  Saturated sets meet by their elements, but for those that more
+than HOT of them have.  That leaves pairs of sets of which three quarters are such common elements: copies, as a
+rule.  They are compared with the leader of each of their hot signatures (the set with most shared
+signatures: the original in a group of copies), and then meet by keys of their differences from that leader
+(shingle_sets.difference_keys()): sets that link with it are one component already, and of others only those
+whose differences are alike meet.
 
 Each set has a sketch of 512 bits: the parity of its elements in 512 cells.  Two sketches differ in at
 most as many bits as the sets do in elements, so a pair whose sketches (or sizes) differ by too much is
@@ -46,7 +48,7 @@ HOT = 24
 LEADERS = 4
 #: Signatures that a worker holds before it passes them on, and those that a task should sort.
 FLUSH = 600_000
-TASK_SIGNATURES = 2_000_000
+TASK_SIGNATURES = 1_200_000
 #: Columns of a set's sketch.
 SKETCH = [f"k{i}" for i in range(8)]
 
@@ -60,7 +62,7 @@ def near(a: str, b: str) -> Column:
 
 def usual(n: Column) -> Column:
     """Signatures that sets of n elements share with a linked set; sets that can promise fewer are weak."""
-    return F.floor(n / 64) + 1
+    return F.floor(n / 24) + 1
 
 
 _DOC = 14  # columns: doc_id, whether it is null, node, set size, least shared, sketch, text key
@@ -286,6 +288,22 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
+def elements(sets: DataFrame, buckets: int) -> DataFrame:
+    """The sets' elements in place of signatures, packed as sign() does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(np.frombuffer(s.as_buffer(), np.uint64), node)
+                if packer.held > FLUSH:
+                    yield packer.flush()
+        if packer.held:
+            yield packer.flush()
+
+    return sets.select("node", "set").mapInArrow(run, SIGNED)
+
+
 def by_differences(members: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """For sets a and hubs b: rows a, b of links with hubs, and keys of differences packed as sign() does."""
 
@@ -325,9 +343,9 @@ def _sides(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
 def members(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (see text_key()), n_shingles, component_id, label (of the component; null without words) for every document."""
     spark = docs.sparkSession
-    # Words, and so signatures, are told from the texts' length: a sixth of it, nine signatures for ten words.
+    # Words, and so signatures, are told from the texts' length: a sixth of it, three signatures for five words.
     chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars * 3 // 20 // TASK_SIGNATURES))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // 10 // TASK_SIGNATURES))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
     known = met.where("sig is null").select("node", "doc_id", "text_key", "n_shingles", "least", *SKETCH, "fine")
     shared = met.where("sig is not null").select("sig", "node", "shared")
@@ -370,18 +388,26 @@ def members(docs: DataFrame) -> DataFrame:
     # Hot signatures: saturated nodes meet by their differences from the signature's leader.
     warm = placed(shared.where(F.col("shared") > HOT), "sig", part).join(nodes.select("node", "weak", "saturated"), "node").join(lead, "sig")
     any_weak = warm.where("weak").select("sig").distinct().withColumn("touched", F.lit(True))
-    warm = warm.join(any_weak, "sig", "left").where("saturated or touched")
-    members = saved(warm.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    warm = saved(warm.join(any_weak, "sig", "left").where("saturated or touched").select("node", "leader").distinct())
     alike = None
-    if members.limit(1).count():
-        sets = sets_of(docs, _nodes(members), known)
-        keyed = saved(by_differences(members, sets, 8 * partitions))
+    if warm.limit(1).count():
+        sets = sets_of(docs, warm.select("node").union(warm.select("leader")), known)
+        # Elements that few saturated sets have, and how many of a set's are common ones; two may be lost as equal in their first bits.
+        found = saved(meet(elements(sets.join(warm.select("node"), "node", "left_semi"), partitions), partitions).select("sig", "node", "shared"))
+        common = found.where(F.col("shared") > HOT).groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+        bound = common.join(looks, "node").where(4 * (F.col("common") + 2) >= 3 * F.col("look.n")).select("node")
+        bound = bound.union(looks.where("look.n <= 2").select("node")).distinct()
+        members = warm.join(bound, "node", "left_semi").where(F.col("node") != F.col("leader"))
+        members = members.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        keyed = saved(by_differences(members, sets, partitions))
         discard(sets)
         links = links.union(keyed.where("a is not null").select("a", "b"))
         part = connected(links)
         keys = keyed.where("a is null").select("bucket", "sigs", "nodes", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("array<binary>").alias("fine"))
         again = saved(meet(keys, partitions, sides=True).select(F.shiftright("sig", 1).alias("sig"), F.col("sig").bitwiseAND(1).alias("side"), "node"))
-        alike = _sides(placed(again, "sig", part).join(looks, "node"), "sig", "side").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        alike = _sides(placed(found.where(F.col("shared") <= HOT), "sig", part).join(looks, "node"), "sig").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        copies = _sides(placed(again, "sig", part).join(looks, "node"), "sig", "side").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        alike = alike.union(copies)
 
     # Other signatures: candidates of different components.
     cold = _sides(placed(shared.where(F.col("shared") <= HOT), "sig", part).join(looks, "node"), "sig")

@@ -2,15 +2,14 @@
 
 Two sets link when 4 |A & B| >= 3 |A | B|; they then differ in at most K = (|A| + |B|) / 7 elements.
 
-signatures() is PartEnum with two levels.  Sets are banded by size (powers of two).  A band's domain is
-cut by a hash into groups, about 3/16 of the band's top, of three cells each.  Each differing element
-falls into one cell, so at most K / 2 groups hold two differences or more; in any other group some two
-of the three cells agree.  A set signs, in each group, every subset of two cells that is not empty, by
-the hash of its elements there.  A group is sound for a set if it fills two cells or more: then a subset
-is left whichever cell differs.  In the fixed order of groups a set signs until K / 2 + 1 + h groups are
-sound; of the first so many that are sound for either of two linked sets, h + 1 agree in a signature.  A
-set within reach of the next band signs for that band as well.  Should too few groups be sound, the set
-signs again under other hashes, and last by its K + 1 least elements one by one.
+signatures() is PartEnum.  Sets are banded by size (powers of two).  A band's domain is cut by a hash into
+partitions, about 3/8 of the band's top; taken in twos, these are PartEnum's groups with two second-level
+partitions each, and its enumerated subsets are those of one partition (two less the one that may differ).
+Each differing element spoils at most one partition.  In the fixed order of partitions, of the first K + 1 + h
+that either of two sets fills, at least h + 1 agree if at most K differ; so a set signs its first K + 1 + h
+filled partitions, and linked sets share at least h + 1 signatures.  A set within reach of the next band signs
+for that band as well.  Should a set fill too few partitions for this to hold, it signs again under another
+hash.  (Subsets of two of three partitions were tried: 1.6 times the signatures, and more of them common.)
 
 difference_keys() serves sets that are compared with a common set, the hub.  Differences from the hub have
 the same distance as the sets themselves.  With a elements added and m missing, and w = 6 a + 8 m, a set
@@ -29,7 +28,6 @@ import xxhash
 from tidewatch.llm.common import lower_words
 
 WORDS = 5
-CELLS = 3
 
 #: The bit of a key of differences that isn't compared.
 SIDE = np.uint64(1 << 24)
@@ -104,31 +102,25 @@ def _signed(s: np.ndarray, level: int, reach: int, own: int) -> tuple[list[np.nd
     """Signatures of a set of size own for a band, when its partners have at most reach elements, and how many
     a partner must share."""
     top = 1 << level
-    groups = 3 * top // 16 + 4
+    n = -(-3 * top // 8) + 4
     k = (own + reach) // 7
-    spoilt, spare = k // 2, own // 40 + 1
+    spare = own // 20 + 1
     out = []
-    with np.errstate(over="ignore"):
-        for seed in range(4):
+    for seed in range(5):
+        with np.errstate(over="ignore"):
             mixed = mix(s + np.uint64((seed + 1) * 0xD1B54A32D192ED03 % 2**64))
-            cell = ((mixed >> np.uint64(33)) % np.uint64(CELLS * groups)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cell = cell[order]
-            at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            part, full = np.zeros(CELLS * groups, np.uint64), np.zeros(CELLS * groups, bool)
-            part[cell[at]], full[cell[at]] = np.add.reduceat(mixed[order], at), True
-            part, full = part.reshape(-1, CELLS), full.reshape(-1, CELLS)
-            filled = full.sum(1)
-            sound = np.cumsum(filled >= 2)
-            upto = int(np.searchsorted(sound, spoilt + 1 + spare)) + 1
-            subset = part[:upto].sum(1)[:, None] - part[:upto]  # all cells but one
+            q = (mixed >> np.uint64(33)).astype(np.int64)
+            if seed < 4:
+                q %= n
+            order = np.argsort(q, kind="stable")
+            q = q[order]
+            at = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            part = np.add.reduceat(mixed[order], at)
+            use = k + 1 + spare
             tag = np.uint64((level * 8 + seed + 1) * 0xA24BAED4963EE407 % 2**64)
-            place = np.arange(len(subset), dtype=np.uint64)[:, None] * _M
-            out.append(mix(mix(subset) ^ place ^ tag)[filled[:upto, None] > full[:upto]])
-            if sound[-1] > spoilt:
-                return out, min(spare + 1, int(sound[-1]) - spoilt) if not seed else 1
-        mixed = np.sort(mix(s + np.uint64(5 * 0xD1B54A32D192ED03 % 2**64)))
-        out.append(mix(mixed[: k + 1] ^ np.uint64((level * 8 + 6) * 0xA24BAED4963EE407 % 2**64)))
+            out.append(mix(mix(part[:use]) ^ (q[at[:use]].astype(np.uint64) * _M) ^ tag))
+        if len(at) > k:
+            return out, min(spare + 1, len(at) - k) if not seed else 1
     return out, 1
 
 
