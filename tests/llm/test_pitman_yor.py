@@ -76,7 +76,7 @@ def pairs_of(model):
         words = [model.vocab.words[n] if not rare else w for n, rare, w in zip(x.names.tolist(), x.rare, x.words)]
         spelt.update(zip(words, model.totals.spelling.log_words(words).tolist()))
         for k, w in enumerate(x.word.tolist()):
-            found[int(x.ctx[k]), words[w]] = (own[k], left[k], p[w])
+            found[int(x.ctx[k]), words[w]] = (own[k], left[k], math.exp(p[w]))
     return found, spelt
 
 

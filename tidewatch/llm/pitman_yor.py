@@ -95,7 +95,7 @@ def seat(c: np.ndarray, others: np.ndarray, d: float, p: np.ndarray, rng: np.ran
             for some in np.array_split(at, len(at) * n >> 21):
                 out[some] = seat(c[some], others[some], d, p[some], rng)
             continue
-        log = np.cumsum(np.log(THETA + d * (others[at, None] + np.arange(n))), axis=1) + np.log(p[at, None]) * np.arange(1, n + 1) + _stirling(d)[n, 1 : n + 1]
+        log = np.cumsum(np.log(THETA + d * (others[at, None] + np.arange(n))), axis=1) + np.log(np.maximum(p[at, None], 1e-300)) * np.arange(1, n + 1) + _stirling(d)[n, 1 : n + 1]
         weight = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
         out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
     large = np.flatnonzero(c > EXACT)
@@ -643,13 +643,15 @@ class WordModel:
     partitions: int
 
     def words(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a chunk: by word its probability in the words' restaurant; by pair what its own customers give, and what is left to new tables."""
+        """Of a chunk: by word the logarithm of its probability in the words' restaurant; by pair what its own customers give, and what is left to new tables."""
         tables, k, own, _ = chunk.drawn(self.before, self.draws)
         now, rare = self.totals, chunk.rare
         p = np.zeros(len(chunk.names))
-        p[~rare] = now.frequent[chunk.names[~rare]]
+        p[~rare] = np.log(now.frequent[chunk.names[~rare]])
         lg = now.spelling.log_words([chunk.words[i] for i in np.flatnonzero(rare).tolist()])
-        p[rare] = (k[rare] - now.d_word * own[rare] + (THETA + now.d_word * now.t) * np.exp(lg)) / (THETA + now.k)
+        new, had = THETA + now.d_word * now.t, k[rare] - now.d_word * own[rare]
+        # the probability of a long word's spelling may be too small for a number
+        p[rare] = np.where(had > 0, np.log(np.maximum(had, 1e-9) + new * np.exp(lg)), np.log(new) + lg) - np.log(THETA + now.k)
         below = THETA + now.customers[chunk.ctx]
         return p, (chunk.c - now.d_pair * tables) / below, (THETA + now.d_pair * now.tables[chunk.ctx]) / below
 
@@ -704,7 +706,8 @@ def score(model: WordModel) -> DataFrame:
                 frequent = ~x.rare
                 total[frequent] = c_of[x.names[frequent]]
                 base = np.log10((total + 0.1) / (n_tokens + 0.1 * (m.vocab.v + 1)))
-                values = np.stack([np.log10(own + left * p[x.word]), base[x.word], (total[x.word] > 0).astype(float)])
+                log = np.where(own > 0, np.log(np.maximum(own, 1e-300) + left * np.exp(p[x.word])), np.log(left) + p[x.word])
+                values = np.stack([log / np.log(10), base[x.word], (total[x.word] > 0).astype(float)])
                 blocks = np.frombuffer(r["block"], np.int64)
                 doc = np.frombuffer(r["doc"], np.uint16) >> 1
                 number = np.frombuffer(r["number"], np.min_scalar_type(len(blocks)))
