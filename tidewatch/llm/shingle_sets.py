@@ -137,13 +137,13 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
 
 @lru_cache(maxsize=1000)
 def difference_bands(hub_size: int) -> tuple[int, ...]:
-    """Edges of the bands of w: coarse up to 2 n, where sets link with the hub, and finer beyond."""
+    """Edges of the bands of w, by tenths up to 2 n, where sets link with the hub, and by twentieths beyond."""
     two = 2 * hub_size
-    inner = {int(two / 1.5**k) for k in range(1, 8)}
+    inner = {int(two / 1.1**k) for k in range(1, 31)}
     outer, x = [], two + 1
     while x < 100 * (two + 16):
         outer.append(x)
-        x = max(x + 1, x * 6 // 5)
+        x = max(x + 1, x * 21 // 20)
     return tuple(sorted({0} | {v for v in inner if v <= two})) + (*outer, 2**62)
 
 
