@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import params as P
@@ -10,52 +13,91 @@ from tidewatch.functions.boxes import iou_corners
 from tidewatch.functions.metrics import f1, fbeta, precision, recall
 
 
-def _candidates(preds: DataFrame, truths: DataFrame, iou: float) -> DataFrame:
-    """image_id, seq, conf, c: each prediction's truths of its class with enough overlap, best first, ties by their order."""
-    p, t = preds.alias("p"), truths.alias("t")
+def _candidates(preds: DataFrame, truths: DataFrame, iou: float, cell: int = 64) -> DataFrame:
+    """image_id, cls, seq, conf, c: each prediction's truths of its class with enough overlap, best first, ties by their order.
+
+    Boxes are copied to the grid cells that they touch; a pair counts in the cell of its overlap's corner.
+    """
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    spread = lambda df: df.select("image_id", "cls", "seq", "x1", "y1", "x2", "y2", cells("x1", "x2").alias("gx")).select("*", cells("y1", "y2").alias("gy"))
+    p, t = spread(preds.where("x1 <= x2 and y1 <= y2")).alias("p"), spread(truths.where("x1 <= x2 and y1 <= y2")).alias("t")
     box = lambda s: tuple(F.col(f"{s}.{k}").cast("double") for k in ("x1", "y1", "x2", "y2"))
-    pair = p.join(t, (F.col("p.image_id") == F.col("t.image_id")) & (F.col("p.cls") == F.col("t.cls")), "left")
     overlap = iou_corners(box("p"), box("t"))
-    ok = F.when(overlap >= iou, F.struct((-overlap).alias("o"), F.col("t.seq").alias("g")))
-    return pair.groupBy(F.col("p.image_id").alias("image_id"), F.col("p.seq").alias("seq"), F.col("p.conf").alias("conf")).agg(F.transform(F.array_sort(F.collect_list(ok)), lambda x: x["g"]).alias("c"))
-
+    same = [F.col(f"p.{k}") == F.col(f"t.{k}") for k in ("image_id", "cls", "gx", "gy")]
+    once = (F.col("p.gx") == F.floor(F.greatest("p.x1", "t.x1") / cell)) & (F.col("p.gy") == F.floor(F.greatest("p.y1", "t.y1") / cell))
+    pair = p.join(t, [*same, once, overlap >= iou])
+    hits = pair.groupBy("p.image_id", "p.cls", "p.seq").agg(F.transform(F.array_sort(F.collect_list(F.struct((-overlap).alias("o"), F.col("t.seq").alias("g")))), lambda x: x["g"].cast("long")).alias("c"))
+    return preds.select("image_id", "cls", "seq", "conf").join(hits, ["image_id", "cls", "seq"], "left")
 
-def _fold(found: DataFrame, truths: DataFrame, *keys: str) -> DataFrame:
-    """keys, tp, n_pred: predictions in their order each take the best truth that's left."""
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.lit(0).alias("tp"))
 
-    def step(acc, p):
-        left = F.filter(p["c"], lambda g: ~F.array_contains(acc["used"], g))
-        hit = F.size(left) > 0
-        used = F.when(hit, F.array_append(acc["used"], F.get(left, F.lit(0)))).otherwise(acc["used"])
-        return F.struct(used.alias("used"), (acc["tp"] + F.when(hit, 1).otherwise(0)).alias("tp"))
-
-    order = F.array_sort(F.collect_list(F.struct("seq", F.col("c"))))
-    return found.groupBy(*keys).agg(F.aggregate(order, start, step, lambda acc: acc["tp"]).alias("tp"), F.count(F.lit(1)).alias("n_pred"))
+def _taken(choices: Iterable) -> list[bool]:
+    """Do predictions, in their order, get a truth, if each takes its best one that's left."""
+    used: set[int] = set()
+    out = []
+    for c in choices:
+        g = next((x for x in c if x not in used), None)
+        if g is not None:
+            used.add(g)
+        out.append(g is not None)
+    return out
 
 
 def match(preds: DataFrame, truths: DataFrame, iou: float = P.EVAL_IOU) -> DataFrame:
     """image_id, tp, fp, fn for every image with predictions or truths.
 
-    preds: image_id, seq (order), conf, cls, x1 to y2; truths the same without conf.  iou must be over 0.
+    preds: image_id, seq (order), conf, cls, x1 to y2; truths the same without conf.  iou must be over 0.  As only
+    boxes of one class match, images are settled class by class.
     """
-    tp = _fold(_candidates(preds, truths, iou), truths, "image_id")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf[pdf["c"].notna()].sort_values("seq", kind="stable")
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1], "tp": [sum(_taken(some["c"]))], "n_pred": [len(pdf)]})
+
+    kind = dict(preds.dtypes)["image_id"]
+    tp = _candidates(preds, truths, iou).groupBy("image_id", "cls").applyInPandas(settle, f"image_id {kind}, tp long, n_pred long")
+    tp = tp.groupBy("image_id").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
     n = truths.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_true"))
     zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
     out = tp.join(n, "image_id", "full")
     return out.select("image_id", zero("tp").alias("tp"), F.greatest(zero("n_pred") - zero("tp"), F.lit(0)).alias("fp"), F.greatest(zero("n_true") - zero("tp"), F.lit(0)).alias("fn"))
 
 
+def by_threshold(preds: DataFrame, steps: int = P.EVAL_STEPS) -> DataFrame:
+    """k, n: predictions of at least each of evenly spaced confidences from 0 to 1, where there are any; a histogram and its suffix sums."""
+    guess = F.floor(F.col("conf") * (steps - 1) + 1e-9).cast("int")
+    top = F.when(F.col("conf") >= guess / (steps - 1), guess).otherwise(guess - 1)
+    counts = preds.where("conf >= 0").groupBy(F.least(top, F.lit(steps - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    steps_ = preds.sparkSession.range(steps).select(F.col("id").cast("int").alias("k"))
+    after = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a step
+    return steps_.join(counts, "k", "left").select("k", F.coalesce(F.sum("n").over(after), F.lit(0)).alias("n")).where("n > 0")
+
+
 def sweep(preds: DataFrame, truths: DataFrame, iou: float = P.EVAL_IOU, steps: int = P.EVAL_STEPS) -> DataFrame:
-    """threshold, tp, fp, fn, precision, recall at evenly spaced confidences from 0 to 1."""
+    """threshold, tp, fp, fn, precision, recall at evenly spaced confidences from 0 to 1.
+
+    One pass over each image and class settles all thresholds; a step without another prediction keeps the last result.
+    """
     spark = preds.sparkSession
-    found = _candidates(preds, truths, iou)
-    k = F.explode(F.sequence(F.lit(0), F.floor(F.col("conf") * (steps - 1) + 1e-9).cast("int")))
-    spread = found.withColumn("k", k).where(F.col("conf") >= F.col("k") / (steps - 1))
-    per = _fold(spread, truths, "k", "image_id").groupBy("k").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf.sort_values("seq", kind="stable")
+        conf, choices = some["conf"].to_numpy(float), some["c"].to_numpy()
+        out, last, hits = [], -1, 0
+        for k in range(steps):
+            stay = conf >= k / (steps - 1)
+            n = int(stay.sum())
+            if not n:
+                break
+            if n != last:
+                last, hits = n, sum(_taken(choices[stay]))
+            out.append((k, hits))
+        return pd.DataFrame(out, columns=["k", "tp"])
+
+    found = _candidates(preds, truths, iou).where("c is not null and conf is not null")
+    hits = found.groupBy("image_id", "cls").applyInPandas(settle, "k int, tp long").groupBy("k").agg(F.sum("tp").alias("tp"))
     n = truths.agg(F.count(F.lit(1)).alias("n_true"))
-    out = spark.range(steps).select(F.col("id").cast("int").alias("k")).join(per, "k", "left").crossJoin(F.broadcast(n))  # one row
-    tp, made = F.coalesce("tp", F.lit(0)), F.coalesce("n_pred", F.lit(0))
+    out = spark.range(steps).select(F.col("id").cast("int").alias("k")).join(by_threshold(preds, steps), "k", "left").join(hits, "k", "left").crossJoin(F.broadcast(n))  # one row
+    tp, made = F.coalesce("tp", F.lit(0)), F.coalesce("n", F.lit(0))
     out = out.select((F.col("k") / (steps - 1)).alias("threshold"), tp.cast("long").alias("tp"), (made - tp).cast("long").alias("fp"), (F.col("n_true") - tp).cast("long").alias("fn"))
     return out.withColumns({"precision": precision(F.col("tp"), F.col("fp")), "recall": recall(F.col("tp"), F.col("fn"))})
 
@@ -73,22 +115,16 @@ def with_fbeta(swept: DataFrame, beta: float = P.BETA) -> DataFrame:
 
 def average_precision(preds: DataFrame, truths: DataFrame, iou: float = P.EVAL_IOU) -> DataFrame:
     """cls, ap: area under the precision envelope, predictions of a class by confidence (ties by image and order)."""
-    from pyspark.sql import Window
-
-    ranked = preds.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "seq")))
-    found = _candidates(ranked.withColumn("seq", F.col("place")), truths, iou)
-    # a prediction is a hit if the matches grow with it
-    order = Window.partitionBy("image_id").orderBy("seq")
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.expr("cast(array() as array<int>)").alias("hits"))
-
-    def step(acc, p):
-        left = F.filter(p["c"], lambda g: ~F.array_contains(acc["used"], g))
-        hit = F.size(left) > 0
-        return F.struct(F.when(hit, F.array_append(acc["used"], F.get(left, F.lit(0)))).otherwise(acc["used"]).alias("used"), F.when(hit, F.array_append(acc["hits"], p["seq"])).otherwise(acc["hits"]).alias("hits"))
-
-    hits = found.groupBy("image_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "c"))), start, step, lambda acc: acc["hits"]).alias("hits"))
-    scored = ranked.join(hits, "image_id").select("cls", "conf", "image_id", "place", F.array_contains("hits", F.col("place")).cast("int").alias("hit"))
-    by = Window.partitionBy("cls").orderBy(F.desc("conf"), "image_id", "place")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf.sort_values(["conf", "seq"], ascending=[False, True], kind="stable")
+        hit = _taken(c if c is not None else () for c in some["c"])
+        return some[["cls", "conf", "image_id", "seq"]].assign(hit=hit)
+
+    kinds = dict(preds.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ("cls", "conf", "image_id", "seq")) + ", hit boolean"
+    scored = _candidates(preds, truths, iou).groupBy("image_id", "cls").applyInPandas(settle, schema).withColumn("hit", F.col("hit").cast("int"))
+    by = Window.partitionBy("cls").orderBy(F.desc("conf"), "image_id", "seq")
     curve = scored.select("cls", "hit", F.sum("hit").over(by).alias("tp"), F.row_number().over(by).alias("n"))
     curve = curve.withColumn("p", F.col("tp") / F.col("n"))
     envelope = F.max("p").over(Window.partitionBy("cls").orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing))

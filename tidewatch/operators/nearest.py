@@ -1,15 +1,16 @@
 """Nearest ship position within a radius of each detection, by an equi-join on grid cells.
 
 Cells are at least as large as the radius everywhere in the data, so a nearest position within it
-lies in one of nine cells: positions are copied to their neighbours' cells, and detections join on
-their own.  A crowded cell is one key of an ordinary join, which adaptive execution splits.
+lies in one of nine cells: detections, the side that is small and doesn't grow with traffic, are copied to their
+neighbours' cells, and positions join on their own.  A crowded cell is one key of an ordinary join, which
+adaptive execution splits.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import params as P
@@ -27,28 +28,32 @@ def _cells(radius_km: float, max_abs_lat: float) -> tuple[float, float]:
     return lat, min(360.0, lat / cos(radians(far)) * 1.01)
 
 
-def match_nearest(detections: DataFrame, ais: DataFrame, radius_km: float = P.AIS_RADIUS_KM, max_abs_lat: float = 85.0) -> DataFrame:
-    """detections (det_id, lat, lon, ...) with ais_match, dark_vessel, matched_vessel_id, _name, _flag, ais_distance_km.
+def match_nearest(detections: DataFrame, ais: DataFrame, radius_km: float = P.AIS_RADIUS_KM, max_abs_lat: float = 85.0, fits: Column | None = None) -> DataFrame:
+    """detections (lat, lon, ...) with ais_match, dark_vessel, matched_vessel_id, _name, _flag, ais_distance_km.
 
-    Of ais (ais_seq, lat, lon, vessel_id, vessel_name, flag) the nearest counts, of equally near
+    Of ais (ais_seq, lat, lon, vessel_id, vessel_name, flag, ts) the nearest counts, of equally near
     ones (to 1e-9 km) the first by ais_seq.  max_abs_lat bounds |lat| of the data and sets the cells;
-    rows beyond it have no match, nor have NaN positions.
+    rows beyond it have no match, nor have NaN positions.  fits is a further condition on a detection
+    (row) and a position (alat, alon, ats).  Every detection comes back, whatever its id, equal rows as often as
+    they occur.
     """
     dlat, dlon = _cells(radius_km, max_abs_lat)
     cell = lambda c, size: F.floor(c / F.lit(size)).cast("long")
-    near = F.explode(F.expr("flatten(transform(array(-1L, 0L, 1L), x -> transform(array(-1L, 0L, 1L), y -> struct(x as dx, y as dy))))"))
-    sane = ais.where(F.abs("lat") <= max_abs_lat).where(~F.isnan("lon"))
-    spread = sane.select("ais_seq", F.col("lat").alias("alat"), F.col("lon").alias("alon"), "vessel_id", "vessel_name", "flag", near.alias("n"))
-    spread = spread.withColumns({"__ay": cell(F.col("alat"), dlat) + F.col("n.dy"), "__ax": cell(F.col("alon"), dlon) + F.col("n.dx")}).drop("n")
-    placed = detections.withColumns({"__cy": cell(F.col("lat"), dlat), "__cx": cell(F.col("lon"), dlon)})
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
-    joined = placed.join(spread, (F.col("__cy") == F.col("__ay")) & (F.col("__cx") == F.col("__ax")) & (km <= radius_km), "left")
-    found = F.when(F.col("ais_seq").isNotNull(), F.struct(F.round(km, 9).alias("km"), "ais_seq", "vessel_id", "vessel_name", "flag"))
-    rest = [c for c in detections.columns if c != "det_id"]
-    best = joined.groupBy("det_id").agg(*[F.first(c).alias(c) for c in rest], F.min(found).alias("best"))
-    return best.select(
-        "det_id",
-        *rest,
+    around = F.explode(F.expr("flatten(transform(array(-1L, 0L, 1L), x -> transform(array(-1L, 0L, 1L), y -> struct(x as dx, y as dy))))"))
+    columns = detections.columns
+    rows = detections.groupBy(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    near = rows.where(F.abs("row.lat") <= max_abs_lat).where(~F.isnan("row.lon")).select("row", around.alias("n"))
+    near = near.select("row", (cell(F.col("row.lat"), dlat) + F.col("n.dy")).alias("cy"), (cell(F.col("row.lon"), dlon) + F.col("n.dx")).alias("cx"))
+    time = [F.col("ts").alias("ats")] if "ts" in ais.columns else [F.lit(None).cast("timestamp").alias("ats")]
+    ships = ais.where(F.abs("lat") <= max_abs_lat).where(~F.isnan("lon"))
+    ships = ships.select(F.struct("ais_seq", "vessel_id", "vessel_name", "flag").alias("ship"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), *time)
+    ships = ships.withColumns({"ay": cell(F.col("alat"), dlat), "ax": cell(F.col("alon"), dlon)})
+    km = haversine_km(F.col("row.lat"), F.col("row.lon"), F.col("alat"), F.col("alon"))
+    close = near.join(ships, (F.col("cy") == F.col("ay")) & (F.col("cx") == F.col("ax")) & (km <= radius_km) & (F.lit(True) if fits is None else fits))
+    best = close.groupBy("row").agg(F.min(F.struct(F.round(km, 9).alias("km"), "ship.ais_seq", "ship.vessel_id", "ship.vessel_name", "ship.flag")).alias("best"))
+    found = rows.alias("r").join(best.alias("b"), F.col("r.row").eqNullSafe(F.col("b.row")), "left").select("r.row", "best", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return found.select(
+        "row.*",
         F.col("best").isNotNull().alias("ais_match"),
         F.col("best").isNull().alias("dark_vessel"),
         F.col("best.vessel_id").alias("matched_vessel_id"),
@@ -58,6 +63,18 @@ def match_nearest(detections: DataFrame, ais: DataFrame, radius_km: float = P.AI
     )
 
 
+def match_scenes(detections: DataFrame, ais: DataFrame, scenes: DataFrame, radius_km: float = P.AIS_RADIUS_KM, max_abs_lat: float = 85.0, pad: float = P.AIS_PAD_DEG) -> DataFrame:
+    """match_nearest() by scene: a detection (scene, lat, lon, ...) meets the positions within the padded extent of its own
+    scene's detections, and within the scene's window (scenes: scene, t_from, t_to; both closed) or without a
+    time.  Where a window is missing, all times fit."""
+    extent = detections.groupBy("scene").agg((F.min("lat") - pad).alias("s"), (F.max("lat") + pad).alias("n"), (F.min("lon") - pad).alias("w"), (F.max("lon") + pad).alias("e"))
+    limits = extent.join(scenes.select("scene", "t_from", "t_to"), "scene", "left").select(F.col("scene").alias("of"), F.struct("s", "n", "w", "e", "t_from", "t_to").alias("limits"))
+    bounded = detections.join(limits, F.col("scene").eqNullSafe(F.col("of")), "left").drop("of")
+    inside = F.col("alat").between(F.col("row.limits.s"), F.col("row.limits.n")) & F.col("alon").between(F.col("row.limits.w"), F.col("row.limits.e"))
+    timely = F.col("ats").isNull() | F.col("row.limits.t_from").isNull() | F.col("row.limits.t_to").isNull() | F.col("ats").between(F.col("row.limits.t_from"), F.col("row.limits.t_to"))
+    return match_nearest(bounded, ais, radius_km, max_abs_lat, inside & timely).drop("limits")
+
+
 def near_scene(ais: DataFrame, detections: DataFrame, start: datetime | None = None, end: datetime | None = None, pad: float = P.AIS_PAD_DEG) -> DataFrame:
     """Positions within the padded extent of all detections, and within the window or without a time."""
     box = detections.agg((F.min("lat") - pad).alias("s"), (F.max("lat") + pad).alias("n"), (F.min("lon") - pad).alias("w"), (F.max("lon") + pad).alias("e"))

@@ -112,6 +112,19 @@ def conf_filter(spark, d):
 
 @query(f"{X.with_(box=X.BOXES)} select k / 49.0::double as threshold, count(*) as n from box, (select unnest(range(50)) as k) where conf >= k / 49.0::double group by k")
 def predictions_by_threshold(spark, d):
-    p, t = _boxes(spark, d)
-    swept = evaluation.sweep(p, t)
-    return swept.select("threshold", (F.col("tp") + F.col("fp")).alias("n")).where("n > 0")
+    return evaluation.by_threshold(_boxes(spark, d)[0]).select((F.col("k") / 49).alias("threshold"), "n")
+
+
+@query(f"""{X.with_(box=X.BOXES, truth=X.TRUTHS).replace("with ", "with recursive ", 1)},
+cand as (select p.id, list(t.seq order by {iou_sql('p', 't')} desc, t.seq) as c from box p join truth t on p.image_id = t.image_id and p.cls = t.cls where {iou_sql('p', 't')} >= 0.5 group by p.id),
+pr as (select p.image_id, p.id, p.cls, p.conf, coalesce(c, []) as c, row_number() over (partition by p.image_id order by p.conf desc, p.id) as n from box p left join cand using (id)),
+st as (select distinct image_id, 0::bigint as n, []::bigint[] as used, []::bigint[] as hits from pr
+  union all select s.image_id, pr.n, case when len(list_filter(pr.c, lambda g: not list_contains(s.used, g))) > 0 then list_append(s.used, list_filter(pr.c, lambda g: not list_contains(s.used, g))[1]) else s.used end,
+    case when len(list_filter(pr.c, lambda g: not list_contains(s.used, g))) > 0 then list_append(s.hits, pr.id) else s.hits end from st s join pr on pr.image_id = s.image_id and pr.n = s.n + 1),
+fin as (select image_id, arg_max(hits, n) as hits from st group by image_id),
+sc as (select cls, conf, image_id, id, list_contains(hits, id)::int as hit from pr join fin using (image_id)),
+cu as (select *, sum(hit) over w as tp, row_number() over w as n from sc window w as (partition by cls order by conf desc, image_id, id)),
+en as (select *, max(tp / n) over (partition by cls order by n rows between current row and unbounded following) as e from cu)
+select cls, round(sum(e * hit) / (select count(*) from truth t where t.cls = en.cls), 9) as ap from en group by cls""")
+def average_precision(spark, d):
+    return evaluation.average_precision(*_boxes(spark, d)).withColumn("ap", F.round("ap", 9))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import classify, geo, geojson, parse
 from tidewatch.operators import land, nearest, range_join, vessels
 from tidewatch.plans import fixtures as X
+from tidewatch.plans import pipeline
 from tidewatch.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,12 +270,37 @@ def gfw_events_dedupe(spark, d):
     return p.select("vessel_id", (F.expr("ais_seq div 1000000") + F.col("ais_seq") % 1000000).alias("ais_seq"), "lat", "lon")
 
 
-@query(f"{X.with_(ais=X.AIS)}, v as (select vessel_id, min(ais_seq) as ais_seq from ais group by vessel_id), seen as (select vessel_id from ais where ais_seq % 7 = 0) select vessel_id, ais_seq from v where vessel_id not in (select vessel_id from seen) order by ais_seq limit 50")
+@query(f"""{X.with_(ais=X.AIS)}, v as (select vessel_id, min(ais_seq) as ais_seq from ais group by vessel_id), seen as (select * from v where vessel_id::bigint % 3 = 0),
+more as (select * from v where vessel_id not in (select vessel_id from seen) order by ais_seq limit 50) select 'events' as source, * from seen union all select 'search', * from more""")
 def seen_anti_union(spark, d):
-    """The first 50 ids that one source lacks: that many are asked for."""
+    """One source's ids, and the first 50 of another that it lacks: that many are asked for."""
     ais = X.view(spark, d, X.AIS)
     v = readers.first_of(ais.select("vessel_id", "ais_seq"), "vessel_id", "ais_seq")
-    return readers.unseen(v, ais.where("ais_seq % 7 = 0"), "vessel_id", "ais_seq").select("vessel_id", "ais_seq")
+    seen = v.where("cast(vessel_id as bigint) % 3 = 0")
+    more = readers.unseen(v, seen, "vessel_id", "ais_seq")
+    named = lambda df, name: df.select(F.lit(name).alias("source"), "vessel_id", "ais_seq")
+    return named(seen, "events").unionByName(named(more, "search"))
+
+
+WINDOWED = """, named as (select det.*, case when scene = 'S7' then 'unnamed' else concat('S1A_IW_GRDH_1SDV_202401', lpad((3 * substr(scene, 2)::int + 1)::varchar, 2, '0'), 'T000000_202401', lpad((3 * substr(scene, 2)::int + 9)::varchar, 2, '0'), 'T120000_x') end as name from det),
+lim as (select name, min(lat) - 0.1::double as s, max(lat) + 0.1::double as n, min(lon) - 0.1::double as w, max(lon) + 0.1::double as e,
+  try_strptime(regexp_extract(name, '_(\\d{8}T\\d{6})_(\\d{8}T\\d{6})_', 1), '%Y%m%dT%H%M%S') - interval 30 minute as t0, try_strptime(regexp_extract(name, '_(\\d{8}T\\d{6})_(\\d{8}T\\d{6})_', 2), '%Y%m%dT%H%M%S') + interval 30 minute as t1 from named group by name)"""
+
+
+@query(f"""{X.with_(a=X.AIS, det=X.DETECTIONS)}{WINDOWED},
+pairs as (select det_id, ais_seq, vessel_id, vessel_name, flag, {HAVERSINE.format(a="d", b="a")} as km from named d join lim using (name) join a on abs(a.lat - d.lat) < 0.1 and abs(a.lon - d.lon) < 0.112
+  where a.lat between lim.s and lim.n and a.lon between lim.w and lim.e and (a.ts is null or t0 is null or a.ts between t0 and t1)),
+best as (select *, row_number() over (partition by det_id order by round(km, 9), ais_seq) as k from pairs where km <= 10)
+select d.det_id, d.name as scene, b.det_id is not null as ais_match, b.vessel_id as matched_vessel_id, b.vessel_name as matched_vessel_name, b.flag as matched_flag, round(b.km, 4) as ais_distance_km
+from named d left join best b on b.det_id = d.det_id and b.k = 1""")
+def match_scene_windows(spark, d):
+    """Ships in the window and extent of each detection's own scene; one scene's name tells no window."""
+    det, ais = X.view(spark, d, X.DETECTIONS), X.view(spark, d, X.AIS)
+    day = lambda more: F.lpad((3 * F.substring("scene", 2, 9).cast("int") + more).cast("string"), 2, "0")
+    name = F.concat(F.lit("S1A_IW_GRDH_1SDV_202401"), day(1), F.lit("T000000_202401"), day(9), F.lit("T120000_x"))
+    det = det.select("det_id", F.when(F.col("scene") == "S7", "unnamed").otherwise(name).alias("scene"), "lat", "lon")
+    ais = ais.withColumn("ts", F.col("ts").cast("timestamp"))
+    return nearest.match_scenes(det, ais, pipeline.windows(det), 10.0, max_abs_lat=10.0).drop("lat", "lon", "dark_vessel")
 
 
 @query("select vec_id, embedding[len(embedding) // 2 + 1] as mid from embeddings")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import params as P
+from tidewatch.functions.parse import scene_window, scene_window_or
 from tidewatch.functions.radiometry import db_to_linear, dn_to_db
 from tidewatch.operators import components, focal, land, nearest, nms, raster, vessels
 from tidewatch.operators.storage import saved
@@ -43,8 +46,14 @@ def detect_db(px: DataFrame, meta: DataFrame, **options) -> DataFrame:
     return detect(px.withColumn("v", db_to_linear(F.col("v"))), meta, **options)
 
 
-def detect_and_match(px: DataFrame, meta: DataFrame, ais: DataFrame, radius_km: float = P.AIS_RADIUS_KM, **options) -> DataFrame:
-    """Vessels with the ship positions near them; those without one are dark."""
-    found = detect(px, meta, **options).withColumn("det_id", F.struct("scene", "label"))
-    found = saved(found)
-    return nearest.match_nearest(found, nearest.near_scene(ais, found), radius_km)
+def windows(scenes: DataFrame, now: datetime | None = None) -> DataFrame:
+    """scene, t_from, t_to by the scenes' names; other names have the hours around now, or without it no window."""
+    name = F.col("scene")
+    t_from, t_to = scene_window(name) if now is None else scene_window_or(name, F.lit(now).cast("timestamp"))
+    return scenes.select("scene").distinct().select("scene", t_from.alias("t_from"), t_to.alias("t_to"))
+
+
+def detect_and_match(px: DataFrame, meta: DataFrame, ais: DataFrame, radius_km: float = P.AIS_RADIUS_KM, now: datetime | None = None, **options) -> DataFrame:
+    """Vessels with the ship positions near them in their scene's extent and window; those without one are dark."""
+    found = saved(detect(px, meta, **options).withColumn("det_id", F.struct("scene", "label")))
+    return nearest.match_scenes(found, ais, windows(meta, now), radius_km)
