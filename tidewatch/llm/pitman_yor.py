@@ -10,10 +10,9 @@ restaurant leaves to new tables, times its own spelling's.
 
 Seating is sampled by Gibbs: a restaurant's customers of one dish leave together and are seated again at a
 number of tables drawn from its posterior (a new table has weight (theta + d T) P, a table of n customers
-n - d; generalised Stirling numbers count the seatings of t tables).  Dishes of more than EXACT customers sit down
-one by one, with the times at which tables open drawn directly and the tables' sizes beta-binomial given those,
-and then single customers move, so that time grows with tables and not with customers; this leaves more tables
-than the posterior has, but the discounts of so large dishes hardly matter.  Within a round, restaurants see others' totals as the round before left them.  Probabilities are
+n - d; generalised Stirling numbers count the seatings of t tables).  Of dishes of more than EXACT customers the
+first so many are seated like that; their tables then grow by the power d of customers, up to the limit for
+endlessly many, which is negative binomial.  Within a round, restaurants see others' totals as the round before left them.  Probabilities are
 averaged over the draws of the last round.
 
 Tokens are dealt once, packed, to buckets by word; frequent words are spread over buckets by context too, so no
@@ -57,8 +56,8 @@ CONTEXTS = 1 << 16
 ENDINGS = 1 << 16
 #: Draws of the rounds: the last one's are averaged.
 ROUNDS = (2, 10)
-#: Customers of a dish up to which its tables are drawn from their exact posterior, and moves beyond.
-EXACT, MOVES, STEPS = 1024, 64, 64
+#: Customers of a dish whose tables are drawn from their exact posterior.
+EXACT = 1024
 THETA = 1.0
 #: Bits of the context key at each depth of the spelling model.
 DEPTH_BITS = (0, 8, 16)
@@ -87,7 +86,7 @@ def _stirling(d: float) -> np.ndarray:
 
 def seat(c: np.ndarray, others: np.ndarray, d: float, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Numbers of tables for dishes of c >= 1 customers, when their restaurants have others tables of other dishes
-    and the parent gives them probability p: drawn from their posterior, for more than EXACT customers by moves."""
+    and the parent gives them probability p: drawn from their posterior, for more than EXACT customers nearly."""
     out = np.ones(len(c), np.int64)
     for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
         at = np.flatnonzero(c == n)
@@ -100,86 +99,12 @@ def seat(c: np.ndarray, others: np.ndarray, d: float, p: np.ndarray, rng: np.ran
         out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
     large = np.flatnonzero(c > EXACT)
     if len(large):
-        here = c[large], others[large], d, p[large], rng
-        dish, size = placed(*here)
-        for _ in range(MOVES):
-            dish, size = moved(dish, size, *here)
-        out[large] = np.bincount(dish, minlength=len(large))
+        t = seat(np.full(len(large), EXACT), others[large], d, p[large], rng)
+        limit = 1 + rng.negative_binomial(THETA / d + others[large] + 1, 1 - np.minimum(p[large], 0.999))
+        out[large] = np.maximum(t, np.minimum(limit, t * (c[large] / EXACT) ** d)).astype(np.int64)
     return out
 
 
-def placed(c: np.ndarray, others: np.ndarray, d: np.ndarray | float, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Tables, by dish, as their dishes and sizes, when all customers sit down one by one."""
-    if not len(c):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    d = np.broadcast_to(np.asarray(d, float), c.shape)
-    weight = lambda i, t: (THETA + d[i] * (others[i] + t)) * p[i]
-    t = np.ones(len(c), np.int64)
-    opened = [(np.arange(len(c)), np.zeros(len(c)))]  # dish, customers seated before
-    live = np.flatnonzero(c > 1)
-    for n in range(1, STEPS):
-        if not len(live):
-            break
-        a = weight(live, t[live])
-        new = live[rng.random(len(live)) * (a + n - d[live] * t[live]) < a]
-        t[new] += 1
-        if len(new):
-            opened.append((new, np.full(len(new), float(n))))
-        live = live[c[live] > n + 1]
-    at = np.full(len(live), float(STEPS))
-    while len(live):
-        # no table opens from n to m with probability about ((n - d t) / (m - d t)) ** a
-        a, low = weight(live, t[live]), d[live] * t[live]
-        with np.errstate(over="ignore"):
-            at = low + np.maximum(at - low, 1e-9) * rng.random(len(live)) ** (-1 / np.maximum(a, 1e-12))
-        ok = at < c[live] - 1
-        live, at = live[ok], np.floor(at[ok])
-        t[live] += 1
-        if len(live):
-            opened.append((live, at))
-            at = at + 1
-    dish, before = (np.concatenate(x) for x in zip(*opened, strict=True))
-    order = np.lexsort((before, dish))
-    dish, before = dish[order], before[order]
-    start = np.r_[0, np.cumsum(t)[:-1]]
-    size = np.ones(len(dish), np.int64)
-    later = np.zeros(len(c), np.int64)
-    for k in range(int(t.max()) - 1, 0, -1):  # the k-th table after the first, last ones first
-        who = np.flatnonzero(t > k)
-        i = start[who] + k
-        m = np.maximum(c[who] - before[i].astype(np.int64) - 1 - later[who], 0)
-        size[i] = 1 + rng.binomial(m, rng.beta(1 - d[who], np.maximum(before[i] - d[who] * k, 1e-9)))
-        later[who] += size[i]
-    size[start] = np.maximum(c - later, 1)
-    return dish, size
-
-
-def _pick(dish: np.ndarray, mass: np.ndarray, who: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A table for each dish of who, by mass; tables are sorted by dish."""
-    total = np.r_[0.0, np.cumsum(mass)]
-    first, last = np.searchsorted(dish, who), np.searchsorted(dish, who, side="right")
-    u = total[first] + rng.random(len(who)) * (total[last] - total[first])
-    return np.clip(np.searchsorted(total, u, side="right") - 1, first, last - 1)
-
-
-def moved(dish: np.ndarray, size: np.ndarray, c: np.ndarray, others: np.ndarray, d: np.ndarray | float, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """One customer of each dish of two or more leaves and is seated again."""
-    d = np.broadcast_to(np.asarray(d, float), c.shape)
-    who = np.flatnonzero(c > 1)
-    if not len(who):
-        return dish, size
-    size = size.copy()
-    size[_pick(dish, size.astype(float), who, rng)] -= 1
-    dish, size = dish[size > 0], size[size > 0]
-    t = np.bincount(dish, minlength=len(c))[who]
-    a = (THETA + d[who] * (others[who] + t)) * p[who]
-    new = rng.random(len(who)) * (a + c[who] - 1 - d[who] * t) < a
-    size[_pick(dish, size - d[dish], who[~new], rng)] += 1
-    dish, size = np.r_[dish, who[new]], np.r_[size, np.ones(new.sum(), np.int64)]
-    order = np.argsort(dish, kind="stable")
-    return dish[order], size[order]
-
-
 # --- spelling ---------------------------------------------------------------------------------
 
 
