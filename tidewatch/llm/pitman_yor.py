@@ -11,8 +11,8 @@ restaurant leaves to new tables, times its own spelling's.
 Seating is sampled by Gibbs: a restaurant's customers of one dish leave together and are seated again at a
 number of tables drawn from its posterior (a new table has weight (theta + d T) P, a table of n customers
 n - d; generalised Stirling numbers count the seatings of t tables).  Of dishes of more than EXACT customers the
-first so many are seated like that; their tables then grow by the power d of customers, up to the limit for
-endlessly many, which is negative binomial.  Within a round, restaurants see others' totals as the round before left them.  Probabilities are
+first so many are seated like that, and their tables grow by the power d of customers; where the limit for
+endlessly many, which is negative binomial, is reached by then, it is drawn from.  Within a round, restaurants see others' totals as the round before left them.  Probabilities are
 averaged over the draws of the last round.
 
 Tokens are dealt once, packed, to buckets by word; frequent words are spread over buckets by context too, so no
@@ -100,8 +100,9 @@ def seat(c: np.ndarray, others: np.ndarray, d: float, p: np.ndarray, rng: np.ran
     large = np.flatnonzero(c > EXACT)
     if len(large):
         t = seat(np.full(len(large), EXACT), others[large], d, p[large], rng)
-        limit = 1 + rng.negative_binomial(THETA / d + others[large] + 1, 1 - np.minimum(p[large], 0.999))
-        out[large] = np.maximum(t, np.minimum(limit, t * (c[large] / EXACT) ** d)).astype(np.int64)
+        low, r = np.minimum(p[large], 0.999), THETA / d + others[large] + 1
+        limit, grown = 1 + rng.negative_binomial(r, 1 - low), t * (c[large] / EXACT) ** d
+        out[large] = np.minimum(np.where(r * low / (1 - low) < EXACT**d, limit, grown), c[large]).astype(np.int64)
     return out
 
 
