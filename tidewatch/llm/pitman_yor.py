@@ -101,8 +101,8 @@ def seat(c: np.ndarray, others: np.ndarray, d: float, p: np.ndarray, rng: np.ran
     if len(large):
         t = seat(np.full(len(large), EXACT), others[large], d, p[large], rng)
         low, r = np.minimum(p[large], 0.999), THETA / d + others[large] + 1
-        limit, grown = 1 + rng.negative_binomial(r, 1 - low), t * (c[large] / EXACT) ** d
-        out[large] = np.minimum(np.where(r * low / (1 - low) < EXACT**d, limit, grown), c[large]).astype(np.int64)
+        limit, mean, grown = 1 + rng.negative_binomial(r, 1 - low), 1 + r * low / (1 - low), t * (c[large] / EXACT) ** d
+        out[large] = np.minimum(np.where(mean < EXACT / 2, limit, np.minimum(grown, mean)), c[large]).astype(np.int64)
     return out
 
 
