@@ -1,6 +1,9 @@
+from pyspark.sql import functions as F
 import re
 from collections import Counter
 
+from helpers import SF
+
 from tidewatch.llm import quality
 
 
@@ -36,3 +39,15 @@ def test_order_is_by_rejection_per_cost(spark):
 def test_no_python_in_the_plan(spark, odd_documents):
     plan = quality.judged(odd_documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lazy_rules_agree(spark, odd_documents):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (docs, odd_documents):
+        want = sorted((r["row"]["doc_id"] or -1 for r in quality.judged(df).where("kept").select("row").collect()))
+        assert sorted(r["doc_id"] or -1 for r in quality.kept_only(df).collect()) == want
+    stats = quality.with_stats(docs).select("s.text", "s.words", "s.n_words", "s.n_repeat_words")
+    got = stats.select("n_repeat_words", quality._repeat_words(F.col("words"), F.col("n_words").cast("int")).alias("lazy"))
+    assert got.where("n_repeat_words > 0").count() and not got.where("n_repeat_words <> lazy").count()
+    clash = odd_documents.withColumns({k: F.lit(1) for k in ("t", "w", "n", "x", "row", "kept", "s")})
+    assert quality.kept_only(clash).columns == clash.columns

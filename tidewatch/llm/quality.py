@@ -71,6 +71,45 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     return a.select("row", stats.alias("s"))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once, and only where the whole is."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _repeat_words(w: Column, n: Column) -> Column:
+    """n_repeat_words as an expression of its own, for a branch that most rows may not reach."""
+    pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda x, y: F.xxhash64(x, y))
+    grams = F.slice(F.zip_with(pairs, F.slice(w, 3, F.size(w)), lambda x, y: F.xxhash64(x, y)), 1, F.greatest(n - 2, F.lit(0)))
+
+    def covered(o: Column) -> Column:
+        same = F.filter(F.zip_with(o, F.slice(o, 2, F.size(o)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda p: p.isNotNull())
+        steps = lambda p: F.zip_with(p, F.slice(p, 2, F.size(p)), lambda x, y: F.coalesce(F.least(F.lit(3), y - x), F.lit(3)))
+        return _let(F.array_sort(F.array_distinct(F.flatten(same))), lambda p: F.aggregate(steps(p), F.lit(0), lambda total, x: total + x))
+
+    in_order = lambda g: F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return _let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _let(in_order(g), covered)).otherwise(F.lit(0)))
+
+
+def lazy_rules(t: Column, w: Column, n: Column) -> dict[str, Column]:
+    """The base rule's count and the method's rules on a text, its words and their number, each with its own statistics.
+
+    The base rule on repeated windows is weaker than the method's, so it needs no branch.
+    """
+    text = F.length(t)
+    letters = F.length(F.array_join(w, ""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    return {
+        "few_words": n < 50,
+        "symbols": 10 * (text - F.length(F.translate(t, SYMBOLS, ""))) > n,
+        "duplicate_lines": _let(lines, lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 40 * F.size(x)),
+        "word_length": _let(letters, lambda c: (c < 3 * n) | (c > 10 * n)),
+        "repeated_windows": 100 * _repeat_words(w, n) > 35 * n,
+        "wordless": 100 * F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))) < 70 * n,
+        "capitals": 100 * (text - F.length(F.regexp_replace(t, "\\p{Lu}", ""))) > 30 * text,
+        "few_distinct": 100 * F.size(F.array_distinct(w)) < 15 * n,
+    }
+
+
 def base_failed(s: str = "s") -> Column:
     n = F.col(f"{s}.n_words")
     return (n < 50) | (100 * F.col(f"{s}.n_repeat_words") > 50 * n)
@@ -131,13 +170,26 @@ def judged(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS
 
 
 def kept_only(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that no rule rejects, with its own columns.
+    """The rows of df that no rule rejects, with its own columns: the verdicts of judged().
 
-    The condition on a row's number, which always holds, keeps Spark from moving the filter below the
-    statistics, where each rule would compute them all again.
+    Only the words are split for all; each rule's statistics are computed in its own branch, so a text that a cheap
+    rule rejects has no windows made or sorted.  The condition on a row's number, which always holds, keeps Spark
+    from moving the filter below the split, where each rule would split the words again.
     """
-    once = F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))
-    return judged(df, text_col).select("row", once.alias("kept")).where("kept").select("row.*")
+
+    def split(df: DataFrame, text: Column) -> DataFrame:
+        a = df.withColumn("t", F.coalesce(text.cast("string"), F.lit(""))).withColumn("w", F.split(F.btrim("t", F.lit(SPACE)), _SPLIT))
+        return a.withColumn("n", F.when((F.size("w") == 1) & (F.element_at("w", 1) == ""), 0).otherwise(F.size("w")))
+
+    checks = lazy_rules(F.col("t"), F.col("w"), F.col("n"))
+    total = df.count()
+    sample = saved(df.select(F.col(f"`{text_col}`").alias("x")).sample(min(1.0, 1.2 * SAMPLE_ROWS / max(1, total)), 1).limit(SAMPLE_ROWS))
+    order = [x["name"] for x in estimate(split(sample, F.col("x")), checks)]
+    rows = split(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("x")), F.col("x"))
+    kept = F.lit(True)
+    for k in reversed(order):
+        kept = F.when(checks[k], False).otherwise(kept)
+    return rows.select("row", F.when(F.monotonically_increasing_id() >= 0, kept).alias("kept")).where("kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
