@@ -58,10 +58,12 @@ ENDINGS = 1 << 16
 ROUNDS = (2, 10)
 #: Customers of a dish whose tables are drawn from their exact posterior.
 EXACT = 1024
+_BANDS = (1, 2, 3, 4, 6, 9, 16, 32, 64, 128, 256, 512, 1024)
 THETA = 1.0
 #: Bits of the context key at each depth of the spelling model.
 DEPTH_BITS = (0, 8, 16)
 #: Tokens and documents of a block, and tokens that a task should hold.
+GROUP_BYTES = 8_000_000
 BLOCK_TOKENS, BLOCK_DOCS, TASK_TOKENS = 1_500_000, 1 << 15, 3_000_000
 
 
@@ -88,15 +90,16 @@ def seat(c: np.ndarray, others: np.ndarray, d: float, p: np.ndarray, rng: np.ran
     """Numbers of tables for dishes of c >= 1 customers, when their restaurants have others tables of other dishes
     and the parent gives them probability p: drawn from their posterior, for more than EXACT customers nearly."""
     out = np.ones(len(c), np.int64)
-    for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
-        at = np.flatnonzero(c == n)
-        if n > 64 and len(at) * n > 1 << 22:  # bounded memory
-            for some in np.array_split(at, len(at) * n >> 21):
-                out[some] = seat(c[some], others[some], d, p[some], rng)
-            continue
-        log = np.cumsum(np.log(THETA + d * (others[at, None] + np.arange(n))), axis=1) + np.log(np.maximum(p[at, None], 1e-300)) * np.arange(1, n + 1) + _stirling(d)[n, 1 : n + 1]
-        weight = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
-        out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
+    # bands of customers share a width; nobody sits at more tables than there are customers, as the numbers say
+    for low, high in zip(_BANDS, _BANDS[1:]):
+        band = np.flatnonzero((c > low) & (c <= high))
+        for lo in range(0, len(band), max(1, (1 << 21) // high)):  # bounded memory
+            at = band[lo : lo + max(1, (1 << 21) // high)]
+            log = np.log(THETA + d * (others[at, None] + np.arange(high)))
+            log += np.log(np.maximum(p[at, None], 1e-300))
+            log = np.cumsum(log, axis=1) + _stirling(d)[c[at], 1 : high + 1]
+            weight = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
     large = np.flatnonzero(c > EXACT)
     if len(large):
         t = seat(np.full(len(large), EXACT), others[large], d, p[large], rng)
@@ -231,7 +234,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _groups(b: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
     texts, ids = b.column(1).fill_null(""), b.column(0)
-    for lo, hi in row_groups(text_lengths(texts)):
+    for lo, hi in row_groups(text_lengths(texts), GROUP_BYTES):
         yield ids.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo)
 
 
@@ -379,7 +382,7 @@ def gather(dealt: DataFrame, partitions: int) -> DataFrame:
                 continue
             name, ctx, doc, block = map(np.concatenate, (name, ctx, doc, block))
             distinct, word = np.unique(name, return_inverse=True)
-            order = np.lexsort((doc, block, word << 17 | ctx))
+            order = np.argsort(word << 17 | ctx, kind="stable")  # keeps the order of blocks and documents
             pair = (word << 17 | ctx)[order]
             doc, block = doc[order], block[order]
             at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
