@@ -123,6 +123,8 @@ def test_land_and_sea(spark):
     poly = spark.createDataFrame([(1, 1, square)], "poly_id int, ring_id int, pts array<struct<x:double,y:double>>")
     pts = spark.createDataFrame([(1, 2.0, 2.0), (2, 5.0, 2.0), (3, 3.9, 3.9), (4, -1.0, 1.0)], "id long, lon double, lat double")
     assert {r["id"] for r in land.at_sea(pts, poly).collect()} == {2, 4}
+    assert {r["id"] for r in land.at_sea(pts, poly, band_deg=0.01).collect()} == {2, 4}
+    assert land.at_sea(pts, poly.limit(0)).count() == 4
 
 
 def test_clip_half(spark):
@@ -223,3 +225,13 @@ def test_scene_windows(spark):
     scenes = spark.createDataFrame([("x", at(1), at(2)), ("y", at(4), at(5)), ("z", at(8), at(9))], "scene string, t_from timestamp, t_to timestamp")
     got = {r["det_id"]: r["matched_vessel_id"] for r in nearest.match_scenes(det, ais, scenes, 2.0).collect()}
     assert got == {1: "A", 2: "B", 3: "C", 4: "A"}
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.exponential(size=5001), "b": rng.integers(0, 4, 800).astype(float), "c": np.array([7.0] * 9), "d": np.array([1.0]), "e": np.array([-1.7e308, 1.7e308, 0.0])}
+    df = spark.createDataFrame(pd.DataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("f", None), ("a", None)], columns=["k", "v"]))
+    df = df.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = {r["k"]: (r["lo"], r["hi"]) for r in raster.percentiles(df, ["k"], F.col("v"), {"lo": 0.02, "hi": 0.98}, buckets=16).collect()}
+    want = {r["k"]: (r["lo"], r["hi"]) for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.02)).alias("lo"), F.percentile("v", F.lit(0.98)).alias("hi")).collect() if r["lo"] is not None}
+    assert got == want

@@ -14,13 +14,16 @@ def edges(polygons: DataFrame) -> DataFrame:
     return at.select("poly_id", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")).where("y1 <> y2")
 
 
-def on_land(points: DataFrame, polygons: DataFrame, band_deg: float = 1.0) -> DataFrame:
+def on_land(points: DataFrame, polygons: DataFrame, band_deg: float | None = None) -> DataFrame:
     """ids (id, lon, lat) inside any polygon, by the even-odd rule.
 
     Edges are copied to the bands of latitude that they span and joined to points by band, so that
-    neither side needs to be small.
+    neither side needs to be small.  By default a band is as high as the mean edge: edges are copied about
+    twice, and a band's points meet the few edges that cross it.
     """
     e = edges(polygons)
+    if band_deg is None:
+        band_deg = min(1.0, max(1e-4, e.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 1.0))
     e = e.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / band_deg), F.floor(F.greatest("y1", "y2") / band_deg))))
     p = points.select("id", "lon", "lat").withColumn("band", F.floor(F.col("lat") / band_deg))
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
@@ -29,5 +32,5 @@ def on_land(points: DataFrame, polygons: DataFrame, band_deg: float = 1.0) -> Da
     return crossed.where("odd = 1").select("id").distinct()
 
 
-def at_sea(points: DataFrame, polygons: DataFrame, band_deg: float = 1.0) -> DataFrame:
+def at_sea(points: DataFrame, polygons: DataFrame, band_deg: float | None = None) -> DataFrame:
     return points.join(on_land(points, polygons, band_deg), "id", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import params as P
@@ -65,15 +65,40 @@ def decimate(px: DataFrame, k: int = 4, value: str = "v") -> DataFrame:
     return px.groupBy("scene", "band", F.expr(f"row div {k}").cast("int").alias("row"), F.expr(f"col div {k}").cast("int").alias("col")).agg(F.avg(value).alias("v"))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: Column, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """keys and a column for each share: exact percentiles of a double by group, interpolated between neighbours.
+
+    Values are counted in equal buckets between a group's extremes; only those of the buckets that hold a wanted
+    rank are counted one by one.  So no task holds a group's values.
+    """
+    x = df.select(*keys, value.alias("x")).where("x is not null")
+    ends = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    at = F.floor((F.col("x") / 2 - F.col("least") / 2) / (F.col("most") / 2 - F.col("least") / 2) * buckets).cast("int")
+    placed = x.join(ends, keys).withColumn("place", F.when(F.col("most") > F.col("least"), F.least(at, F.lit(buckets - 1))).otherwise(0))
+    upto = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = placed.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    counts = counts.withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    pos = {k: F.lit(q) * (F.col("n") - 1) for k, q in shares.items()}
+    ranks = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(i).alias("side"), end(p).cast("long").alias("rank")) for k, p in pos.items() for i, end in ((0, F.floor), (1, F.ceil))])
+    wanted = counts.withColumn("r", F.explode(ranks)).where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("c"))).select(*keys, "place", "before", "r.name", "r.side", "r.rank")
+    each = placed.join(wanted, [*keys, "place"]).groupBy(*keys, "name", "side", "rank", "before", "x").agg(F.count(F.lit(1)).alias("c"))
+    within = Window.partitionBy(*keys, "name", "side").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.col("before") + F.sum("c").over(within)).where((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("c")))
+    pick = lambda k, i: F.max(F.when((F.col("name") == k) & (F.col("side") == i), F.col("x")))
+    found = each.groupBy(*keys).agg(*[pick(k, i).alias(f"{k}{i}") for k in shares for i in (0, 1)]).join(ends.select(*keys, "n"), keys)
+    mid = lambda k: F.when(F.col(f"{k}0") == F.col(f"{k}1"), F.col(f"{k}0")).otherwise((F.ceil(pos[k]) - pos[k]) * F.col(f"{k}0") + (pos[k] - F.floor(pos[k])) * F.col(f"{k}1"))
+    return found.select(*keys, *[mid(k).alias(k) for k in shares])
+
+
 def stretch(px: DataFrame, *keys: str, value: str = "v", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """px with byte: values between two percentiles of their group as 0 to 255, cut to whole numbers; constant or missing as 0."""
     x = F.col(value).cast("double")
     sane = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-    q = px.groupBy(*keys).agg(F.percentile(sane, F.lit(low)).alias("__lo"), F.percentile(sane, F.lit(high)).alias("__hi"))
+    q = percentiles(px, list(keys), sane, {"__lo": low, "__hi": high})
     lo, hi = F.col("__lo"), F.col("__hi")
     scaled = (F.least(F.greatest(x, lo), hi) - lo) / (hi - lo) * 255
     out = F.when((hi > lo) & x.isNotNull() & ~F.isnan(x), F.floor(scaled)).otherwise(0).cast("smallint")
-    return px.join(q, list(keys)).withColumn("byte", out).drop("__lo", "__hi")
+    return px.join(q, list(keys), "left").withColumn("byte", out).drop("__lo", "__hi")
 
 
 def compose(px: DataFrame, value: str = "byte") -> DataFrame:
