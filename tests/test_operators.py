@@ -8,10 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import radiometry
 from tidewatch.functions.geo import haversine_km
 from tidewatch.operators import components, evaluation, focal, land, nearest, nms, raster, tiles, vessels
 from tidewatch.plans import fixtures, pipeline
-from tidewatch.sources import readers, sinks
+from tidewatch.sources import readers, sinks, synthetic
 
 AIS = "ais_seq long, lat double, lon double, vessel_id string, vessel_name string, flag string"
 
@@ -235,3 +236,43 @@ def test_percentiles_are_exact(spark):
     got = {r["k"]: (r["lo"], r["hi"]) for r in raster.percentiles(df, ["k"], F.col("v"), {"lo": 0.02, "hi": 0.98}, buckets=16).collect()}
     want = {r["k"]: (r["lo"], r["hi"]) for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.02)).alias("lo"), F.percentile("v", F.lit(0.98)).alias("hi")).collect() if r["lo"] is not None}
     assert got == want
+
+
+def test_synthetic_scene_is_found(spark):
+    """Eight of ten ships at least, with few false alarms."""
+    px, meta = synthetic.synthetic_scene(spark, 256)
+    found = pipeline.detect_db(px, meta, pfa=1e-6, area=(4, 500)).collect()
+    hit = sum(any(abs(r["lon"] - lon) < 0.03 and abs(r["lat"] - lat) < 0.03 for r in found) for lon, lat in synthetic.TARGETS)
+    assert hit >= 8 and len(found) <= 15
+
+
+def test_polygon_files(spark, tmp_path):
+    square = "[[[0,0],[4,0],[4,4],[0,4],[0,0]]]"
+    (tmp_path / "land.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":%s}},{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[10,0],[14,0],[14,4],[10,0]]],[[[20,0],[24,0],[24,4],[20,0]]]]}}]}' % square)
+    poly = readers.polygons(spark, f"file://{tmp_path}/none.parquet", f"file://{tmp_path}/land.geojson")
+    assert poly.count() == 3
+    pts = spark.createDataFrame([(1, 2.0, 2.0), (2, 13.0, 1.0), (3, 23.0, 1.0), (4, 17.0, 1.0)], "id long, lon double, lat double")
+    assert {r["id"] for r in land.on_land(pts, poly).collect()} == {1, 2, 3}
+    poly.write.parquet(f"file://{tmp_path}/land.parquet")
+    assert readers.polygons(spark, f"file://{tmp_path}/land.parquet").count() == 3
+    with pytest.raises(RuntimeError):
+        readers.polygons(spark, f"file://{tmp_path}/none.parquet")
+
+
+def test_shown_annotated_and_merged(spark, tmp_path):
+    df = spark.createDataFrame([(1, True, "cargo_ship"), (2, False, "cargo_ship"), (3, True, "small_craft")], "det_id long, dark_vessel boolean, vessel_class string")
+    assert [r["det_id"] for r in vessels.shown(df, dark_only=True).collect()] == [1, 3]
+    assert [r["det_id"] for r in vessels.shown(df, vessel_class="cargo_ship").collect()] == [1, 2]
+    assert vessels.shown(df).count() == 3 and vessels.merge().count() == 0
+    assert sinks.write_annotated(df, f"file://{tmp_path}/a") and not sinks.write_annotated(df.limit(0), f"file://{tmp_path}/b")
+    back = readers.read_text_csv(spark, f"file://{tmp_path}/a")
+    assert back.columns == df.columns and back.count() == 3 and not (tmp_path / "b").exists()
+
+
+def test_box_rows_and_masks(spark, tmp_path):
+    boxes = spark.createDataFrame([(1.23456789, 2.0, 0.87654, 1, 1.26, 2.0, 3.0, 4.04)], "lon double, lat double, conf double, cls int, x1 double, y1 double, x2 double, y2 double")
+    assert tuple(sinks.boxes_csv(boxes).first()) == ("1.234568", "2.000000", "0.8765", 1, "1.3", "2.0", "3.0", "4.0")
+    hits = spark.createDataFrame([("A", 1, 2, 9.0), ("B", 3, 4, 9.0)], "scene string, row int, col int, v double")
+    sinks.write_mask(hits, f"file://{tmp_path}/mask")
+    assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/mask").select("scene", "row", "col").collect()} == {("A", 1, 2), ("B", 3, 4)}
+    assert spark.range(1).select(radiometry.pfa_from_exponent(F.lit(-6))).first()[0] == pytest.approx(1e-6)

@@ -21,6 +21,11 @@ def day(text: Column) -> Column:
     return F.to_date(F.when(text.contains("-"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
 
 
+def search_dates(start: Column, end: Column, today: Column, days: int = 30) -> tuple[Column, Column]:
+    """A search's dates: by default the days up to today."""
+    return F.coalesce(start, F.date_sub(today, days)), F.coalesce(end, today)
+
+
 def number(text: Column) -> Column:
     """Double, or null; only plain and exponent notation count."""
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.classify import dimensions_m, vessel_class
@@ -31,7 +31,9 @@ def size_up(boxes: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """All rows of all detectors; columns that one lacks are null there."""
+    """All rows of all detectors; columns that one lacks are null there.  Without any, a table without rows."""
+    if not parts:
+        return SparkSession.active().createDataFrame([], "detector string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -39,6 +41,12 @@ def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def shown(df: DataFrame, dark_only: bool = False, vessel_class: str = "All") -> DataFrame:
+    """What a viewer has chosen: dark vessels alone, or one class."""
+    out = df.where("dark_vessel") if dark_only else df
+    return out if vessel_class == "All" else out.where(F.col("vessel_class") == vessel_class)
+
+
 def confidence_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.min("conf").alias("min_conf"), F.avg("conf").alias("mean_conf"), F.max("conf").alias("max_conf"))
 

@@ -303,6 +303,36 @@ def match_scene_windows(spark, d):
     return nearest.match_scenes(det, ais, pipeline.windows(det), 10.0, max_abs_lat=10.0).drop("lat", "lon", "dark_vessel")
 
 
+@query("""with v as (select vec_id as ais_seq, concat('V', vec_id % 200) as vessel_id, vec_id % 6 as n from embeddings),
+t as (select *, n // 2 as k from v where n > 0), ev as (select vessel_id, min(ais_seq) as ais_seq from v where ais_seq % 4 = 0 group by vessel_id)
+select 'event' as source, vessel_id, ais_seq, 1.0::double as lat, 2.0::double as lon from ev
+union all select 'track', vessel_id, ais_seq, k + (ais_seq % 90)::double, k + (ais_seq % 170)::double from t where vessel_id not in (select vessel_id from ev)""")
+def vessel_tracks(spark, d):
+    """The middles of tracks of vessels without an event, beside events; empty tracks give nothing."""
+    v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("ais_seq"), F.concat(F.lit("V"), F.col("vec_id") % 200).alias("vessel_id"), F.lit("").alias("vessel_name"), F.lit("").alias("flag"), (F.col("vec_id") % 6).cast("int").alias("n"))
+    point = lambda k: F.array(k + (F.col("ais_seq") % 170).cast("double"), k + (F.col("ais_seq") % 90).cast("double"))
+    coordinates = F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: k < F.col("n")), point)
+    tracks = readers.track_positions(v.withColumn("json", F.to_json(F.struct(F.struct(coordinates.alias("coordinates")).alias("geometry")))))
+    events = readers.first_of(v.where("ais_seq % 4 = 0").select("ais_seq", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), "vessel_id", "vessel_name", "flag", F.lit("").alias("timestamp")), "vessel_id", "ais_seq")
+    named = lambda df, name: df.select(F.lit(name).alias("source"), *df.columns)
+    return readers.with_tracks(named(events, "event"), named(tracks, "track")).select("source", "vessel_id", "ais_seq", "lat", "lon")
+
+
+@query("""with l as (select concat('raw/', o_custkey % 50, '_', o_orderkey, case o_orderkey % 3 when 0 then '.zip' when 1 then '.SAFE' else '.tif' end) as path from orders)
+select path, row_number() over (order by ends_with(path, '.SAFE'), path) as place from l where ends_with(path, '.zip') or ends_with(path, '.SAFE')""")
+def scene_listing(spark, d):
+    ending = F.when(F.col("o_orderkey") % 3 == 0, ".zip").when(F.col("o_orderkey") % 3 == 1, ".SAFE").otherwise(".tif")
+    names = X.table(spark, d, "orders").select(F.concat(F.lit("raw/"), F.col("o_custkey") % 50, F.lit("_"), F.col("o_orderkey"), ending).alias("path"))
+    return readers.raw_scenes(names).withColumn("place", F.col("place").cast("long"))
+
+
+@query("select o_orderkey, coalesce(case when o_orderkey % 3 = 0 then o_orderdate::date end, date '2024-06-01' - 30) as t_from, coalesce(case when o_orderkey % 2 = 0 then o_orderdate::date end, date '2024-06-01') as t_to from orders")
+def search_dates(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    start, end = parse.search_dates(F.when(F.col("o_orderkey") % 3 == 0, day), F.when(F.col("o_orderkey") % 2 == 0, day), F.to_date(F.lit("2024-06-01")))
+    return X.table(spark, d, "orders").select("o_orderkey", start.alias("t_from"), end.alias("t_to"))
+
+
 @query("select vec_id, embedding[len(embedding) // 2 + 1] as mid from embeddings")
 def track_midpoint(spark, d):
     return X.table(spark, d, "embeddings").select("vec_id", readers.midpoint(F.col("embedding")).alias("mid"))

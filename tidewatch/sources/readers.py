@@ -133,8 +133,48 @@ def midpoint(coords: Column) -> Column:
     return F.try_element_at(coords, (F.floor(F.size(coords) / 2) + 1).cast("int"))
 
 
-def newest_files(listing: DataFrame, pattern: str, path_col: str = "path") -> DataFrame:
-    return listing.where(F.col(path_col).like(pattern)).orderBy(path_col)
+def listed(listing: DataFrame, *patterns: str, path_col: str = "path") -> DataFrame:
+    """path and place, from 1: the files like the first pattern by path, then those like the next."""
+    which = F.coalesce(*[F.when(F.col(path_col).like(p), k) for k, p in enumerate(patterns)])
+    found = listing.select(F.col(path_col).alias("path"), which.alias("kind")).where("kind is not null")
+    return rank_of(found, F.col("kind"), F.col("path")).select("path", "place")
+
+
+def raw_scenes(listing: DataFrame, path_col: str = "path") -> DataFrame:
+    """Archives, then unpacked scenes."""
+    return listed(listing, "%.zip", "%.SAFE", path_col=path_col)
+
+
+def track_positions(responses: DataFrame, json_col: str = "json") -> DataFrame:
+    """A position per vessel from track responses (ais_seq, vessel_id, vessel_name, flag, json): the middle of the track; without one, none."""
+    at = responses.withColumn("at", midpoint(F.from_json(F.col(json_col), TRACK)["geometry"]["coordinates"]))
+    out = at.select("ais_seq", F.get("at", F.lit(1)).alias("lat"), F.get("at", F.lit(0)).alias("lon"), "vessel_id", "vessel_name", "flag", F.lit("").alias("timestamp"))
+    return out.where("lat is not null and lon is not null")
+
+
+def with_tracks(events: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Positions of events, and of tracks of vessels that have no event."""
+    return events.unionByName(tracks.join(events.select("vessel_id").distinct(), "vessel_id", "left_anti"))
+
+
+RING = "array<array<double>>"
+
+
+def polygons(spark: SparkSession, *paths: str) -> DataFrame:
+    """poly_id, ring_id, pts of the first file there is: Parquet with these columns, or a GeoJSON of (multi)polygons."""
+    path = next((p for p in paths if p and exists(spark, p)), None)
+    if path is None:
+        raise RuntimeError("no file of land polygons")
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path).select("poly_id", "ring_id", "pts")
+    text = spark.read.option("wholetext", True).text(path)
+    feature = "struct<geometry: struct<type: string, coordinates: string>>"
+    one = text.select(F.posexplode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f", "x"))
+    flat = one.select("f", F.col("x.geometry.type").alias("type"), F.col("x.geometry.coordinates").alias("c"))
+    parts = F.when(F.col("type") == "Polygon", F.array(F.from_json("c", f"array<{RING}>"))).when(F.col("type") == "MultiPolygon", F.from_json("c", f"array<array<{RING}>>"))
+    rings = flat.select("f", F.posexplode(parts).alias("p", "rings")).select("f", "p", F.posexplode("rings").alias("ring_id", "ring"))
+    point = lambda q: F.struct(F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y"))
+    return rings.select((F.col("f") * 100_000 + F.col("p")).alias("poly_id"), "ring_id", F.transform("ring", point).alias("pts"))
 
 
 def missing_outputs(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:

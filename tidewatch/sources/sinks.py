@@ -32,6 +32,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def write_annotated(df: DataFrame, path: str) -> bool:
+    """All columns of matched detections as CSV, in the order they have; without rows nothing is written."""
+    if not df.limit(1).count():
+        return False
+    write_csv(df, path)
+    return True
+
+
 def write_geojson(df: DataFrame, path: str, detector: str) -> None:
     """One feature a line, which many readers take as it is."""
     features(df, detector).select(F.col("feature").alias("value")).write.text(path)
