@@ -20,3 +20,22 @@ def same_rows(df, con, sql):
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(dict(zip(names, r))[c]) for c in columns) for r in cur.fetchall()), key=repr)
     assert ours == theirs
+
+def joined_rows(df):
+    """The most rows that a join of df's executed plan gave."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            stack.append(node.plan())
+            continue
+        if "Join" in name:
+            most = max(most, node.longMetric("numOutputRows").value())
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return most
