@@ -24,7 +24,7 @@ def crowded(tmp_path_factory):
     return str(place), con
 
 
-@pytest.mark.parametrize("name", ["ais_nearest_10km"])
+@pytest.mark.parametrize("name", ["ais_nearest_10km", "ais_nearest_windowed", "dark_summary"])
 def test_matches_grow_in_proportion(name, crowded, spark):
     """Detections and ships 15 times over: their pairs within the radius are 225 times as many, what joins give is not."""
     d, con = crowded

@@ -279,9 +279,10 @@ def test_box_rows_and_masks(spark, tmp_path):
     assert spark.range(1).select(radiometry.pfa_from_exponent(F.lit(-6))).first()[0] == pytest.approx(1e-6)
 
 
-def test_crowded_points_join_once(spark):
+@pytest.mark.parametrize("km", [10.0, 2.0])
+def test_crowded_points_join_once(spark, km):
     det = spark.range(400).select(F.col("id").alias("det_id"), (F.col("id") % 2 / 50).alias("lat"), F.lit(2.0).alias("lon"))
     ais = spark.range(600).select(F.col("id").alias("ais_seq"), (F.col("id") % 3 / 50).alias("lat"), F.lit(2.0).alias("lon"), F.concat(F.lit("v"), F.col("id")).alias("vessel_id"), F.lit("n").alias("vessel_name"), F.lit("").alias("flag"))
-    got = nearest.match_nearest(det, ais, 10.0)
+    got = nearest.match_nearest(det, ais, km)
     assert {(r["det_id"] % 2, r["matched_vessel_id"]) for r in got.collect()} == {(0, "v0"), (1, "v1")} and got.count() == 400
     assert joined_rows(got) <= 400
