@@ -286,3 +286,13 @@ def test_crowded_points_join_once(spark, km):
     got = nearest.match_nearest(det, ais, km)
     assert {(r["det_id"] % 2, r["matched_vessel_id"]) for r in got.collect()} == {(0, "v0"), (1, "v1")} and got.count() == 400
     assert joined_rows(got) <= 400
+
+
+def test_crowded_scenes_join_once(spark):
+    det = spark.range(400).select(F.col("id").alias("det_id"), F.lit("s").alias("scene"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    ais = spark.range(600).select(F.col("id").alias("ais_seq"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.concat(F.lit("v"), F.col("id")).alias("vessel_id"), F.lit("n").alias("vessel_name"), F.lit("").alias("flag"))
+    ais = ais.withColumn("ts", F.timestamp_seconds(F.col("ais_seq")))
+    scenes = spark.createDataFrame([("s", datetime(1970, 1, 1, 0, 1), datetime(1970, 1, 2))], "scene string, t_from timestamp, t_to timestamp")
+    got = nearest.match_scenes(det, ais, scenes, 10.0)
+    assert [r["matched_vessel_id"] for r in got.collect()] == ["v60"] * 400
+    assert joined_rows(got) <= 600
