@@ -296,3 +296,21 @@ def test_crowded_scenes_join_once(spark):
     got = nearest.match_scenes(det, ais, scenes, 10.0)
     assert [r["matched_vessel_id"] for r in got.collect()] == ["v60"] * 400
     assert joined_rows(got) <= 600
+
+
+def test_equal_boxes_meet_once(spark):
+    rows = spark.range(400).select(F.col("id").alias("id"), F.lit("s").alias("scene"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (10.0 + F.col("id") % 2 * 30).alias("x2"), F.lit(10.0).alias("y2"), F.lit(7).alias("area_px"), (F.col("id") / 400).alias("conf"))
+    flat = rows.limit(3).withColumns({"id": F.col("id") + 1000, "x2": F.lit(0.0)})
+    boxes = rows.union(flat)
+    kept = nms.by_confidence(boxes)
+    assert {r["id"] for r in kept.collect()} == {398, 399, 1000, 1001, 1002}
+    assert {r["id"] for r in nms.by_area(boxes).collect()} == {0, 1, 1000, 1001, 1002}
+    assert nms.suppress(boxes, [F.col("conf")], 1.0).count() == 403
+
+
+def test_links_of_equal_boxes_are_few(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(nms, "overlapping", lambda *a, f=nms.overlapping, **b: found.append(f(*a, **b)) or found[-1])
+    rows = spark.range(200).select("id", F.lit("s").alias("scene"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (10.0 + F.col("id") % 2).alias("x2"), F.lit(10.0).alias("y2"), F.lit(7).alias("area_px"), (F.col("id") / 200).alias("conf"))
+    assert nms.by_area(rows).count() == 1 and nms.by_confidence(rows).count() == 1
+    assert [x.count() for x in found] == [1, 1]

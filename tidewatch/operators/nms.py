@@ -26,9 +26,18 @@ def overlapping(boxes: DataFrame, threshold: float, cell: int = 64, group: str =
 
 
 def suppress(boxes: DataFrame, order: list[Column], threshold: float, group: str = "scene") -> DataFrame:
-    """The boxes (id, group, x1 to y2, ...) that stay when each group's are taken in order."""
-    ranked = boxes.select("id", F.struct(*order, "id").alias("rank"))
-    return boxes.join(greedy(ranked, saved(overlapping(boxes, threshold, group=group))), "id", "left_semi")
+    """The boxes (id, group, x1 to y2, ...) that stay when each group's are taken in order.
+
+    Equal boxes of some area conflict with each other and with the same others, so only the first of them can stay, and
+    takes part alone; boxes without area conflict with none.  (With a threshold outside 0 to 1, each takes part.)
+    """
+    if not 0 <= threshold < 1:
+        ranked = boxes.select("id", F.struct(*order, "id").alias("rank"))
+        return boxes.join(greedy(ranked, saved(overlapping(boxes, threshold, group=group))), "id", "left_semi")
+    proper = F.coalesce(F.col("x1") < F.col("x2"), F.lit(False)) & F.coalesce(F.col("y1") < F.col("y2"), F.lit(False)) & F.col(group).isNotNull()
+    firsts = saved(boxes.where(proper).groupBy(group, "x1", "y1", "x2", "y2").agg(F.min(F.struct(*order, "id")).alias("rank")).withColumn("id", F.col("rank.id")))
+    stay = greedy(firsts.select("id", "rank"), saved(overlapping(firsts, threshold, group=group)))
+    return boxes.join(stay.union(boxes.where(~proper).select("id")), "id", "left_semi")
 
 
 def by_area(boxes: DataFrame, threshold: float = P.NMS_IOU_AREA, group: str = "scene") -> DataFrame:
