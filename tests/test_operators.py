@@ -314,3 +314,41 @@ def test_links_of_equal_boxes_are_few(spark, monkeypatch):
     rows = spark.range(200).select("id", F.lit("s").alias("scene"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (10.0 + F.col("id") % 2).alias("x2"), F.lit(10.0).alias("y2"), F.lit(7).alias("area_px"), (F.col("id") / 200).alias("conf"))
     assert nms.by_area(rows).count() == 1 and nms.by_confidence(rows).count() == 1
     assert [x.count() for x in found] == [1, 1]
+
+
+def test_equal_predictions_share_candidates(spark):
+    n = 600
+    preds = spark.range(n).select(F.lit(1).alias("image_id"), F.lit(0).alias("cls"), F.col("id").alias("seq"), (F.col("id") % 7 / 7).alias("conf"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (10.0 + F.col("id") % 3).alias("x2"), F.lit(10.0).alias("y2"))
+    truths = spark.range(n // 2).select(F.lit(1).alias("image_id"), F.lit(0).alias("cls"), F.col("id").alias("seq"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (11.0 + F.col("id") % 2).alias("x2"), F.lit(10.0).alias("y2"))
+    p, t = evaluation._shapes(preds, "seq", "conf"), evaluation._shapes(truths, "seq")
+    assert evaluation._candidates(p, t, 0.5).count() == 6
+    assert tuple(evaluation.match(preds, truths).first()) == (1, n // 2, n // 2, 0)
+
+
+def test_pooled_choices_are_the_plain_loop():
+    rng = random.Random(11)
+    for _ in range(300):
+        queues = {t: sorted(rng.sample(range(40), rng.randint(1, 4))) for t in range(6)}
+        levels = {}
+        for s in range(4):
+            some = rng.sample(range(6), rng.randint(0, 6))
+            cut = rng.randint(0, len(some))
+            levels[s] = [x for x in (some[:cut], some[cut:]) if x]
+        shapes = [rng.randrange(5) for _ in range(25)]
+        used, want = set(), []
+        for s in shapes:
+            g = next((g for level in levels.get(s, ()) for g in sorted(g for t in level for g in queues[t]) if g not in used), None)
+            used.add(g)
+            want.append(g is not None)
+        assert evaluation._taken(shapes, levels, queues) == want
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_average_precision_of_many(spark, same):
+    """A class of 20,000 predictions: its envelope must not look at all later ones for each."""
+    preds = spark.range(20_000).select((F.col("id") % 100).alias("image_id"), F.lit(0).alias("cls"), F.col("id").alias("seq"), F.lit(0.5).alias("conf") if same else (F.col("id") / 20_000).alias("conf"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(9.0).alias("x2"), F.lit(9.0).alias("y2"))
+    truths = preds.where("seq < 200").drop("conf")
+    got = evaluation.average_precision(preds, truths)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+    assert 0 < got.first()["ap"] <= 1
