@@ -7,7 +7,7 @@ from helpers import SF, joined_rows, same_rows
 
 from tidewatch.plans import registry
 
-KEYS = {"events": "event_id", "orders": "o_orderkey"}
+KEYS = {"events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,12 @@ def test_matches_grow_in_proportion(name, crowded, spark):
     df = registry.QUERIES[name](spark, d)
     same_rows(df, con, registry.ORACLES[name])
     assert joined_rows(df) <= 1500 * 15
+
+
+@pytest.mark.parametrize("name", ["haversine_pairs"])
+def test_pairs_are_joined_by_groups(name, crowded, spark):
+    """The result has a row a pair; what is joined and computed is a row a pair of points or of different boxes."""
+    d, con = crowded
+    df = registry.QUERIES[name](spark, d)
+    same_rows(df, con, registry.ORACLES[name])
+    assert 5 * joined_rows(df) < df.count()

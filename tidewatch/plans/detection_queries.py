@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import classify, geo, geojson, parse
-from tidewatch.operators import land, nearest, range_join, vessels
+from tidewatch.operators import land, nearest, pairing, range_join, vessels
 from tidewatch.plans import fixtures as X
 from tidewatch.plans import pipeline
 from tidewatch.sources import readers, sinks
@@ -75,13 +75,14 @@ def dark_summary(spark, d):
 s as (select s_suppkey, -5 + (s_suppkey * 3 % 150)::double / 10 as lon, -5 + (s_suppkey * 11 % 100)::double / 10 as lat, s_nationkey from supplier)
 select c_custkey, s_suppkey, round({HAVERSINE.format(a="c", b="s")}, 6) as km from c join s on c_nationkey = s_nationkey""")
 def haversine_pairs(spark, d):
-    at = lambda k, m: (-5 + (F.col(k) % 150).cast("double") / 10, -5 + (F.col(k) * m % 100).cast("double") / 10)
-    clon, clat = at("c_custkey", 7)
-    c = X.table(spark, d, "customer").select("c_custkey", clon.alias("lon"), clat.alias("lat"), "c_nationkey")
+    """Distances of points, then of all customers and suppliers at them."""
+    clon, clat = -5 + (F.col("c_custkey") % 150).cast("double") / 10, -5 + (F.col("c_custkey") * 7 % 100).cast("double") / 10
+    c = X.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation"), clon.alias("lon"), clat.alias("lat")).agg(F.sort_array(F.collect_list("c_custkey")).alias("c"))
     slon, slat = -5 + (F.col("s_suppkey") * 3 % 150).cast("double") / 10, -5 + (F.col("s_suppkey") * 11 % 100).cast("double") / 10
-    s = X.table(spark, d, "supplier").select("s_suppkey", slon.alias("slon"), slat.alias("slat"), "s_nationkey")
-    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", F.round(km, 6).alias("km"))
+    s = X.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation"), slon.alias("slon"), slat.alias("slat")).agg(F.collect_list("s_suppkey").alias("s"))
+    km = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 6)
+    pairs = pairing.dealt(pairing.chunks(c, "c"), pairing.chunks(s, "s"), ["nation"], "c").select("c", "s", km.alias("km"))
+    return pairs.select("s", "km", F.explode("c").alias("c_custkey")).select("c_custkey", F.explode("s").alias("s_suppkey"), "km")
 
 
 @query(f"{X.with_(ais=X.AIS)} select ais_seq, lon, lat from ais where lon between -2 and 3 and lat between -1 and 4 and (ts is null or ts between timestamp '2024-01-05' and timestamp '2024-01-20')")
