@@ -33,7 +33,7 @@ def test_matches_grow_in_proportion(name, crowded, spark):
     assert joined_rows(df) <= 1500 * 15
 
 
-@pytest.mark.parametrize("name", ["haversine_pairs"])
+@pytest.mark.parametrize("name", ["haversine_pairs", "iou_pairs"])
 def test_pairs_are_joined_by_groups(name, crowded, spark):
     """The result has a row a pair; what is joined and computed is a row a pair of points or of different boxes."""
     d, con = crowded

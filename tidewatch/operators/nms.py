@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import params as P
-from tidewatch.functions.boxes import iou_corners
+from tidewatch.functions.boxes import iou_corners, iou_sizes
 from tidewatch.operators.graph import greedy
+from tidewatch.operators.pairing import chunks
 from tidewatch.operators.storage import saved
 
 
@@ -25,6 +26,25 @@ def overlapping(boxes: DataFrame, threshold: float, cell: int = 64, group: str =
     return a.join(b, same & once).where(iou_corners(box("a"), box("b")) > threshold).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def overlaps(boxes: DataFrame, group: str = "scene") -> DataFrame:
+    """a, b (a < b), iou for all overlapping boxes (id, group, x1 to y2) of one group: equal boxes are compared once."""
+    corners = ("x1", "y1", "x2", "y2")
+    proper = (F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2"))  # others overlap nothing
+    shapes = saved(boxes.where(proper).groupBy(group, *corners).agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
+    box = F.struct(*[F.col(k).cast("double").alias(k) for k in corners])
+    side = lambda k: chunks(shapes.select(F.col("id").alias(k), box.alias(f"{k}_box"), F.col("ids").alias(f"{k}_ids")), f"{k}_ids")
+    linked = overlapping(shapes, 0.0, group=group).union(shapes.where(F.size("ids") > 1).select("id", "id")).toDF("a", "b")
+    pairs = linked.join(side("a"), "a").join(side("b"), "b").repartition(256)
+    of = lambda k: tuple(F.col(f"{k}_box.{c}") for c in corners)
+    pairs = pairs.select((F.col("a") == F.col("b")).alias("same"), "a_ids", "b_ids", iou_corners(of("a"), of("b")).alias("iou"), (iou_sizes(_size(of("a")), _size(of("b"))) > 0).alias("sized"))
+    each = pairs.where("sized and iou > 0").select("same", "b_ids", "iou", F.explode("a_ids").alias("i")).select("same", "iou", "i", F.explode("b_ids").alias("j"))
+    return each.where("not same or i < j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "iou")
+
+
+def _size(box: tuple[Column, ...]) -> tuple[Column, ...]:
+    return box[0], box[1], box[2] - box[0], box[3] - box[1]
+
+
 def suppress(boxes: DataFrame, order: list[Column], threshold: float, group: str = "scene") -> DataFrame:
     """The boxes (id, group, x1 to y2, ...) that stay when each group's are taken in order.
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.boxes import iou_corners, iou_sizes
 from tidewatch.operators import evaluation, nms
 from tidewatch.plans import fixtures as X
 
@@ -35,14 +34,8 @@ def iou_sql(a: str, b: str) -> str:
 
 @query(f"{X.with_(box=X.BOXES)} select a.id as a, b.id as b, {iou_sql('a', 'b')} as iou from box a join box b on a.image_id = b.image_id and a.id < b.id and {INTER.format(a='a', b='b')} > 0")
 def iou_pairs(spark, d):
-    """Overlapping boxes of an image (a few dozen each), by both forms of the overlap."""
-    b = X.view(spark, d, X.BOXES)
-    x, y = b.alias("a"), b.alias("b")
-    box = lambda s: tuple(F.col(f"{s}.{k}") for k in ("x1", "y1", "x2", "y2"))
-    size = lambda s: (F.col(f"{s}.x1"), F.col(f"{s}.y1"), F.col(f"{s}.x2") - F.col(f"{s}.x1"), F.col(f"{s}.y2") - F.col(f"{s}.y1"))
-    found = nms.overlapping(b, 0.0, group="image_id")
-    pair = found.join(x, F.col("a.id") == found["a"]).join(y, F.col("b.id") == found["b"])
-    return pair.where(iou_sizes(size("a"), size("b")) > 0).select(found["a"].alias("a"), found["b"].alias("b"), iou_corners(box("a"), box("b")).alias("iou"))
+    """Overlapping boxes of an image, by both forms of the overlap."""
+    return nms.overlaps(X.view(spark, d, X.BOXES), "image_id")
 
 
 def _nms_sql(order: str, limit: float) -> str:
