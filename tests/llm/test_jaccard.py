@@ -155,6 +155,21 @@ def test_candidates_of_a_large_group_grow_in_proportion():
     assert candidates(5000) <= 6 * candidates(1000)
 
 
+def test_keys_of_one_group_become_one(spark):
+    """Two long texts that differ from their hub alike share hundreds of keys, which all give the one pair."""
+    rng = np.random.default_rng(5)
+    hub = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
+    new = rng.integers(0, 2**63, 400).astype(np.uint64)
+    pair = [np.unique(np.r_[hub, new, rng.integers(0, 2**63, k).astype(np.uint64)]) for k in (20, 60)]
+    made = [(k, bytearray(s.tobytes())) for k, s in enumerate([hub, *pair])]
+    nodes = spark.createDataFrame(made, "node long, set binary")
+    members = spark.createDataFrame([(1, 0), (2, 0)], "a long, b long")
+    met = jaccard.meet(jaccard.by_differences(members, nodes, 4), 1, sides=True).where("sig is not null")
+    got = met.select("sig", "node").collect()
+    assert {r["node"] for r in got} == {1, 2}
+    assert len(got) <= 8
+
+
 def test_a_group_of_5000_near_copies(spark):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(120)]

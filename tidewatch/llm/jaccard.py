@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, row_groups, saved, table, text_lengths
+from tidewatch.llm.common import discard, row_groups, saved, small_batches, table, text_lengths, tidy
 from tidewatch.llm.shingle_sets import Shingles, difference_keys, fine_sketch, linked, may_link, mix, node_of, signatures, sketch
 from tidewatch.operators.graph import connected
 
@@ -71,8 +71,8 @@ SIGNED = "bucket long, sigs binary, nodes binary, docs binary, fine array<binary
 
 
 class Packer:
-    """Signatures with their nodes, dealt to buckets and packed: five bytes of a signature (its bucket is told
-    by the row), eight of a node.  Signatures that agree so far by chance only add candidates."""
+    """Signatures with their nodes, dealt to buckets and packed: four bytes of a signature (its bucket is told
+    by the row), eight of a node.  Signatures that agree so far by chance only add candidates, some three a bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.sigs, self.nodes, self.held = buckets, [], [], 0
@@ -88,7 +88,7 @@ class Packer:
         self.sigs, self.nodes, self.held = [], [], 0
         b = ((s & np.uint64(0xFFFFFF)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
-        b, node, s = b[order], node[order], np.ascontiguousarray((s[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        b, node, s = b[order], node[order], np.ascontiguousarray((s[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :4])
         at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         ends = np.r_[at[1:], len(b)]
         return pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([s[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([node[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.binary()))], _SIGNED)
@@ -132,6 +132,19 @@ def pc_lengths(texts: pa.Array) -> list[int]:
     return text_lengths(texts.fill_null(""))
 
 
+def _by_group(s: np.ndarray, n: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures (sorted, the last bit a side) renamed by hashes of their groups of nodes and sides, each group once."""
+    at = np.flatnonzero(np.r_[True, s[1:] >> 1 != s[:-1] >> 1])
+    with np.errstate(over="ignore"):
+        member = mix(mix(n.view(np.uint64)) + (s & 1).astype(np.uint64))
+        group = mix(np.add.reduceat(member, at)) & ~np.uint64(1)
+    stay = np.zeros(len(at), bool)
+    stay[np.unique(group, return_index=True)[1]] = True
+    size = np.diff(np.r_[at, len(s)])
+    stay = np.repeat(stay, size)
+    return (np.repeat(group.view(np.int64), size) | s & 1)[stay], n[stay], shared[stay]
+
+
 _MET = "sig long, node long, shared int, doc_id long, n_shingles long, least int, " + ", ".join(f"{k} long" for k in SKETCH) + ", text_key long, fine binary"
 
 
@@ -139,7 +152,8 @@ def meet(signed: DataFrame, partitions: int, sides: bool = False) -> DataFrame:
     """Rows (sig, node, shared) for signatures that several nodes have; rows (node, doc_id, n_shingles, least) for documents.
 
     A partition sorts its share of the signatures; a signature's nodes are counted once each.  With sides, the
-    signature's last bit is one, and only signatures that several nodes have from both sides stay.
+    signature's last bit is one, and only signatures that several nodes have from both sides stay; they are named
+    by their nodes and sides, so that those of one and the same group, which give the same pairs, become one.
     """
     cut = 1 if sides else 0
 
@@ -154,9 +168,9 @@ def meet(signed: DataFrame, partitions: int, sides: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([void, pa.array(x[:, 2]), void.cast(pa.int32()), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 3]), pa.array(x[:, 4].astype(np.int32)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(5, _DOC)), pa.array(fine.as_py(), pa.binary())], names)
                 else:
                     wide = np.zeros((len(n.as_buffer()) // 8, 8), np.uint8)
-                    wide[:, :5] = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 5)
+                    wide[:, :4] = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 4)
                     # the bucket tells signatures of other buckets apart
-                    sigs.append(wide.view(np.int64).ravel() | (bucket.as_py() & 0x7FFFFF) << 40)
+                    sigs.append(wide.view(np.int64).ravel() | (bucket.as_py() & 0x7FFFFF) << 32)
                     nodes.append(np.frombuffer(n.as_buffer(), np.int64))
         if not sigs:
             return
@@ -182,6 +196,8 @@ def meet(signed: DataFrame, partitions: int, sides: bool = False) -> DataFrame:
                 several &= np.minimum.reduceat(s & 1, at) < np.maximum.reduceat(s & 1, at)
             shared, several = np.repeat(count, count), np.repeat(several, count)
             s, n, shared = s[several], n[several], shared[several].astype(np.int32)
+            if sides and len(s):
+                s, n, shared = _by_group(s, n, shared)
         for lo in range(0, len(s), 100_000):
             m = len(s[lo : lo + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + m]), pa.array(n[lo : lo + m]), pa.array(shared[lo : lo + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * 9, pa.nulls(m, pa.binary())], names)
@@ -305,33 +321,26 @@ def elements(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def by_differences(members: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """For sets a and hubs b: rows a, b of links with hubs, and keys of differences packed as sign() does."""
+    """For sets a and hubs b: keys of differences packed as sign() does, and links with hubs as rows about documents: node a, doc_id b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
-        names = [*_SIGNED[:3], "a", "b"]
-
-        def keys() -> pa.RecordBatch:
-            out = packer.flush()
-            return pa.RecordBatch.from_arrays([*out.columns[:3], pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], names)
-
         for batch in batches:
             links = []
             for i, j, x, y in _pairs_of_sets(batch):
                 inside, own = difference_keys(x, y, j)
                 if inside:
-                    links.append((i, j))
+                    links.append((j, 0, i, *[0] * (_DOC - 3)))
                 if len(own):
                     packer.add(own, i)
                 if packer.held > FLUSH:
-                    yield keys()
+                    yield packer.flush()
             if links:
-                n = len(links)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*links, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([links[0][2] % buckets], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.array(links, np.int64).tobytes()], pa.binary()), pa.array([[None] * len(links)], pa.list_(pa.binary()))], _SIGNED)
         if packer.held:
-            yield keys()
+            yield packer.flush()
 
-    return _with_sets(members, sets).mapInArrow(run, "bucket long, sigs binary, nodes binary, a long, b long")
+    return _with_sets(members, sets).mapInArrow(run, SIGNED)
 
 
 def _sides(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
@@ -342,11 +351,17 @@ def _sides(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
 
 def members(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (see text_key()), n_shingles, component_id, label (of the component; null without words) for every document."""
+    with small_batches(docs.sparkSession):
+        return _members(docs)
+
+
+def _members(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # Words, and so signatures, are told from the texts' length: a sixth of it, three signatures for five words.
     chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // 10 // TASK_SIGNATURES))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
+    tidy(spark)
     known = met.where("sig is null").select("node", "doc_id", "text_key", "n_shingles", "least", *SKETCH, "fine")
     shared = met.where("sig is not null").select("sig", "node", "shared")
 
@@ -365,11 +380,13 @@ def members(docs: DataFrame) -> DataFrame:
     # Round one: the leader of a signature is its node with most shared signatures.
     rich = shared.join(nodes.select("node", "degree"), "node")
     lead = saved(rich.groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")))
+    tidy(spark)
     met_leaders = shared.join(lead, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("node").orderBy(F.desc("n"), "leader")
     looks = nodes.select("node", "look", "spare")
     fit = met_leaders.join(looks, "node").join(looks.select(F.col("node").alias("leader"), F.col("look").alias("look2")), "leader").where(near("look", "look2"))
     fit = saved(fit.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("node", "leader", "k"))
+    tidy(spark)
     able = sketched(fit.select(F.col("node").alias("a"), F.col("leader").alias("b")), fine)
     # of those that their sketches allow the best one: nearly always a link
     able = able.join(fit, (F.col("a") == F.col("node")) & (F.col("b") == F.col("leader"))).groupBy("node").agg(F.min_by("leader", "k").alias("leader"))
@@ -377,6 +394,7 @@ def members(docs: DataFrame) -> DataFrame:
     sets = sets_of(docs, _nodes(first), known)
     links = saved(checked(first, sets))
     discard(sets)
+    tidy(spark)
     part = connected(links)
 
     def placed(rows: DataFrame, key: str, part: DataFrame) -> DataFrame:
@@ -389,6 +407,7 @@ def members(docs: DataFrame) -> DataFrame:
     warm = placed(shared.where(F.col("shared") > HOT), "sig", part).join(nodes.select("node", "weak", "saturated"), "node").join(lead, "sig")
     any_weak = warm.where("weak").select("sig").distinct().withColumn("touched", F.lit(True))
     warm = saved(warm.join(any_weak, "sig", "left").where("saturated or touched").select("node", "leader").distinct())
+    tidy(spark)
     alike = None
     if warm.limit(1).count():
         sets = sets_of(docs, warm.select("node").union(warm.select("leader")), known)
@@ -399,12 +418,12 @@ def members(docs: DataFrame) -> DataFrame:
         bound = bound.union(looks.where("look.n <= 2").select("node")).distinct()
         members = warm.join(bound, "node", "left_semi").where(F.col("node") != F.col("leader"))
         members = members.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        keyed = saved(by_differences(members, sets, partitions))
+        keyed = saved(meet(by_differences(members, sets, partitions), partitions, sides=True).select("sig", "node", "doc_id").distinct())
         discard(sets)
-        links = links.union(keyed.where("a is not null").select("a", "b"))
+        tidy(spark)
+        links = links.union(keyed.where("sig is null").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
         part = connected(links)
-        keys = keyed.where("a is null").select("bucket", "sigs", "nodes", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("array<binary>").alias("fine"))
-        again = saved(meet(keys, partitions, sides=True).select(F.shiftright("sig", 1).alias("sig"), F.col("sig").bitwiseAND(1).alias("side"), "node"))
+        again = keyed.where("sig is not null").select(F.shiftright("sig", 1).alias("sig"), F.col("sig").bitwiseAND(1).alias("side"), "node")
         alike = _sides(placed(found.where(F.col("shared") <= HOT), "sig", part).join(looks, "node"), "sig").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         copies = _sides(placed(again, "sig", part).join(looks, "node"), "sig", "side").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         alike = alike.union(copies)
