@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.storage import saved, shared_dir
 
-__all__ = ["discard", "lower_ascii", "lower_words", "row_groups", "saved", "shared_dir", "small_batches", "table", "text_lengths", "tidy", "unused", "word_count", "words"]
+__all__ = ["discard", "lower_ascii", "lower_words", "row_groups", "saved", "shared_dir", "small_batches", "table", "text_lengths", "unused", "word_count", "words"]
 
 #: White space of the word contracts: space and the controls 9 to 13.
 SPACE = " \t\n\x0b\f\r"
@@ -37,12 +36,6 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: only then do shuffle files go that nothing will read again."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Python workers get so many rows at once of what is run inside: sets and texts may be large."""

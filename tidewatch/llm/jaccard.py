@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, row_groups, saved, small_batches, table, text_lengths, tidy
+from tidewatch.llm.common import discard, row_groups, saved, small_batches, table, text_lengths
 from tidewatch.llm.shingle_sets import Shingles, difference_keys, fine_sketch, linked, may_link, mix, node_of, signatures, sketch
 from tidewatch.operators.graph import connected
 
@@ -361,7 +361,6 @@ def _members(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // 10 // TASK_SIGNATURES))
     met = saved(meet(sign(docs, 8 * partitions), partitions))
-    tidy(spark)
     known = met.where("sig is null").select("node", "doc_id", "text_key", "n_shingles", "least", *SKETCH, "fine")
     shared = met.where("sig is not null").select("sig", "node", "shared")
 
@@ -380,13 +379,11 @@ def _members(docs: DataFrame) -> DataFrame:
     # Round one: the leader of a signature is its node with most shared signatures.
     rich = shared.join(nodes.select("node", "degree"), "node")
     lead = saved(rich.groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")))
-    tidy(spark)
     met_leaders = shared.join(lead, "sig").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("node").orderBy(F.desc("n"), "leader")
     looks = nodes.select("node", "look", "spare")
     fit = met_leaders.join(looks, "node").join(looks.select(F.col("node").alias("leader"), F.col("look").alias("look2")), "leader").where(near("look", "look2"))
     fit = saved(fit.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("node", "leader", "k"))
-    tidy(spark)
     able = sketched(fit.select(F.col("node").alias("a"), F.col("leader").alias("b")), fine)
     # of those that their sketches allow the best one: nearly always a link
     able = able.join(fit, (F.col("a") == F.col("node")) & (F.col("b") == F.col("leader"))).groupBy("node").agg(F.min_by("leader", "k").alias("leader"))
@@ -394,7 +391,6 @@ def _members(docs: DataFrame) -> DataFrame:
     sets = sets_of(docs, _nodes(first), known)
     links = saved(checked(first, sets))
     discard(sets)
-    tidy(spark)
     part = connected(links)
 
     def placed(rows: DataFrame, key: str, part: DataFrame) -> DataFrame:
@@ -407,7 +403,6 @@ def _members(docs: DataFrame) -> DataFrame:
     warm = placed(shared.where(F.col("shared") > HOT), "sig", part).join(nodes.select("node", "weak", "saturated"), "node").join(lead, "sig")
     any_weak = warm.where("weak").select("sig").distinct().withColumn("touched", F.lit(True))
     warm = saved(warm.join(any_weak, "sig", "left").where("saturated or touched").select("node", "leader").distinct())
-    tidy(spark)
     alike = None
     if warm.limit(1).count():
         sets = sets_of(docs, warm.select("node").union(warm.select("leader")), known)
@@ -420,7 +415,6 @@ def _members(docs: DataFrame) -> DataFrame:
         members = members.select(F.col("node").alias("a"), F.col("leader").alias("b"))
         keyed = saved(meet(by_differences(members, sets, partitions), partitions, sides=True).select("sig", "node", "doc_id").distinct())
         discard(sets)
-        tidy(spark)
         links = links.union(keyed.where("sig is null").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
         part = connected(links)
         again = keyed.where("sig is not null").select(F.shiftright("sig", 1).alias("sig"), F.col("sig").bitwiseAND(1).alias("side"), "node")
