@@ -64,6 +64,29 @@ def test_small_memo_forgets_and_still_agrees(spark, library):
     assert got == library(many)
 
 
+def test_model_sees_each_piece_once(library, monkeypatch):
+    seen, model = [], Tokenizer.from_file(JSON).model
+
+    class Counted:
+        def tokenize(self, piece):
+            seen.append(piece)
+            return model.tokenize(piece)
+
+    monkeypatch.setattr("tokenizers.Tokenizer.from_file", lambda path: type("T", (), {"model": Counted()}))
+    table = library_bpe.ChunkTable(JSON)
+    many = [f"the internationalization{end} internationalization{end}\nÉtonnamment{end}" for end in [*",.;:!?", "", "..", ".\n"]]
+    assert [ids for t in many for ids in table.ids(pa.array([t])).to_pylist()] == library(many)
+    assert len(seen) == len(set(seen)) > 10
+
+
+def test_first_words_are_remembered_apart(library):
+    table = library_bpe.ChunkTable(JSON)
+    many = ["a", "b a", "a b a", "", " a", "a", "  a  ", "b", "\n", "\n a", "ab a\nb"]
+    for some in ([t] for t in many):
+        assert table.ids(pa.array(some)).to_pylist() == library(some)
+    assert table.ids(pa.array(many)).to_pylist() == library(many)
+
+
 def test_segment_tree_is_tiktoken(spark, tik):
     many = texts() + all_texts(spark)[:60]
     assert [bpe.encode(RANKS, t) for t in many] == [tik.encode_ordinary(t) for t in many]

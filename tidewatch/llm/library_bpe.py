@@ -1,14 +1,16 @@
 """Byte-level BPE of the tokenizers library, applied to distinct chunks.
 
 Texts are cut before single spaces, where the library's pattern always cuts too, and the chunks of a
-batch are made a dictionary by Arrow.  Chunks that the worker doesn't remember are cut by the pattern,
-the library's BPE model encodes their distinct pieces, and the texts' ids are gathered from the
-chunks'.  Equality with the library's encode_batch() is tested.
+group of texts are made a dictionary by Arrow, whose first entries are the chunks that the worker
+remembers.  The others are cut by the pattern, their pieces are made a dictionary in the same way, the
+library's BPE model encodes the pieces that the worker doesn't remember, and ids are gathered from
+pieces to chunks to texts.  Equality with the library's encode_batch() is tested.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,9 @@ SPACES = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _ODD = f" (?:[{ANY_SPACE}]|$)"
 
+#: Bytes of texts that are encoded at a time: each time, what is remembered is put in a dictionary anew.
+GROUP_BYTES = 8_000_000
+
 
 def byte_chars() -> dict[int, str]:
     """What byte-level vocabularies write for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
@@ -31,93 +36,119 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-class Pieces(dict):
-    """Little-endian 32-bit ids of pieces by the library's model; short pieces are remembered."""
-
-    def __init__(self, path: str, limit: int = 200_000):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenize, self.chars, self.limit = Tokenizer.from_file(path).model.tokenize, byte_chars(), limit
+def _starts(strings: pa.Array) -> np.ndarray:
+    """Where each of the strings begins in their characters one after another, with their end."""
+    return np.concatenate([[0], np.cumsum(pc.utf8_length(strings).to_numpy())])
 
-    def __missing__(self, p: str) -> bytes:
-        if p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
-            plain = p.replace(" ", self.chars[32])
-        else:
-            plain = p.encode("utf-8", "replace").decode("latin-1").translate(self.chars)
-        got = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
-        if len(p) < 12:
-            if len(self) > self.limit:
-                self.clear()
-            self[p] = got
-        return got
 
+class Memo:
+    """Ids of distinct names, remembered up to a number of names; the most used quarter outlives that.
 
-class ChunkTable:
-    """Ids of distinct chunks, remembered up to a number of chunks; the most used quarter outlives that."""
+    encode gives ids, and how many there are of each name, of names (strings, none null).
+    """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        self.pieces, self.limit = Pieces(path), limit
-        self.slots: dict[str, int] = {}
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.names = pa.array([], pa.string())
         self.start, self.flat, self.used = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and how many there are of each chunk; all chunks start with a space and no white space behind it."""
-        found = PIECES.findall("".join(texts))
-        ids = list(map(self.pieces.__getitem__, found))
-        starts = np.cumsum([0, *map(len, texts)])
-        at = np.cumsum([0, *map(len, found)])[:-1]
-        n = np.bincount(np.searchsorted(starts[:-1], at, side="right") - 1, weights=[len(x) // 4 for x in ids], minlength=len(texts))
-        return np.frombuffer(b"".join(ids), np.int32), n.astype(np.int64)
-
-    def _learn(self, names: list[str]) -> None:
-        """A name that starts with a space stands for the rest, any other for itself with a space before it."""
-        bare, spaced = [n for n in names if n[:1] == " "], [n for n in names if n[:1] != " "]
-        flat, counts = [self.flat], []
-        for x in bare:
-            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(x[1:])))
-            flat.append(np.frombuffer(ids, np.int32))
-            counts.append(len(ids) // 4)
-        ids, n = self._encode([" " + x for x in spaced])
-        first = len(self.slots)
-        self.slots.update(zip([*bare, *spaced], range(first, first + len(names)), strict=True))
-        self.flat = np.concatenate([*flat, ids])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.r_[np.array(counts, np.int64), n])])
-        self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
-
     def _forget(self) -> None:
         stay = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 4])
-        names = list(self.slots)
         n = np.diff(self.start)
         keep = np.zeros(len(n), bool)
         keep[stay] = True
         self.flat = self.flat[np.repeat(keep, n)]
         self.start = np.r_[0, np.cumsum(n[stay])]
         self.used = self.used[stay] // 2
-        self.slots = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.names = self.names.take(pa.array(stay))
 
-    def _look_up(self, names: list[str]) -> np.ndarray:
-        if len(self.slots) > self.limit or len(self.flat) > 16 * self.limit:
+    def codes(self, *parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All names, those remembered first, and the places among them of the parts' values, one part after another."""
+        if len(self.names) > self.limit or len(self.flat) > 16 * self.limit or self.names.nbytes > 64 * self.limit:
             self._forget()
-        new = list({n for n in names if n not in self.slots})
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
+        coded = pa.chunked_array([self.names, *parts]).dictionary_encode().chunks  # without empty ones
+        return coded[-1].dictionary, np.concatenate([c.indices.to_numpy() for c in coded]).astype(np.int64)[len(self.names) :]
+
+    def slots(self, names: pa.Array, index: np.ndarray) -> np.ndarray:
+        """Slots of names[index]; of the names that codes() gave, those in index alone are learnt."""
+        held, uses = len(self.names), np.bincount(index, minlength=len(names))
+        new = held + np.flatnonzero(uses[held:])
+        if not len(new):
+            self.used += uses[:held]
+            return index
+        fresh = names.take(pa.array(new))
+        ids, n = self.encode(fresh)
+        self.names = pa.concat_arrays([self.names, fresh])
+        self.flat = np.concatenate([self.flat, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+        self.used = np.concatenate([self.used + uses[:held], uses[new]])
+        place = np.arange(len(names))
+        place[new] = np.arange(held, held + len(new))
+        return place[index]
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slots one after another, and where each slot's begin, with their end."""
+        begin, n = self.start[slots], np.diff(self.start)[slots]
+        at = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(begin - at[:-1], n) + np.arange(at[-1])], at
+
+
+class Pieces(Memo):
+    """Ids of pieces by the library's model."""
+
+    def __init__(self, path: str, limit: int = 300_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(self._tokenize, limit)
+        self.model = Tokenizer.from_file(path).model
+        self.chars = np.array([ord(c) for _, c in sorted(byte_chars().items())], "<u2")
+
+    def _tokenize(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, at, data = names.buffers()
+        at = np.frombuffer(at, np.int32)[names.offset : names.offset + len(names) + 1].tolist()
+        plain = self.chars[np.frombuffer(data, np.uint8)[at[0] : at[-1]]].tobytes().decode("utf-16-le")
+        tokenize, ids, ends = self.model.tokenize, array("i"), array("q", [0])
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            ids.extend([t.id for t in tokenize(plain[i - at[0] : j - at[0]])])
+            ends.append(len(ids))
+        return np.frombuffer(ids, np.int32), np.diff(np.frombuffer(ends, np.int64))
+
+
+class ChunkTable(Memo):
+    """Ids of texts by way of their chunks.
+
+    A name that starts with a space stands for the rest, any other for itself with a space before it.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000):
+        super().__init__(self._cut, limit)
+        self.pieces = Pieces(path)
+
+    def _cut(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As codes() has the texts' first chunks first, names that start with a space come before all others."""
+        k = pc.sum(pc.starts_with(names, " ")).as_py()
+        found, ends = [], [0]
+        for x in names[:k].to_pylist():
+            found += PIECES.findall(x[1:])
+            ends.append(len(found))
+        bare, spaced = len(found), names[k:]
+        if len(spaced):
+            found += PIECES.findall(" " + " ".join(spaced.to_pylist()))  # no white space is behind these spaces
+        if not found:
+            return np.empty(0, np.int32), np.zeros(k, np.int64)
+        pieces = pa.array(found)
+        ids, at = self.pieces.gather(self.pieces.slots(*self.pieces.codes(pieces)))
+        last = np.searchsorted(_starts(pieces[bare:]), _starts(spaced)[1:] + np.arange(1, len(spaced) + 1))
+        return ids, np.diff(at[np.concatenate([ends, bare + last])])
 
     def _slots_of(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of all chunks of lists of chunks, none empty, and the lists' offsets."""
         at = lists.offsets.to_numpy()
-        coded = lists.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy().astype(np.int64)
-        names += [" " + names[i] for i in index[at[:-1]]]  # no space stands before these
-        index[at[:-1]] = np.arange(len(coded.dictionary), len(names))
-        place = np.zeros(len(names), np.int64)
-        own = np.flatnonzero(np.bincount(index, minlength=len(names)))
-        place[own] = self._look_up([names[i] for i in own.tolist()])
-        slots = place[index]
-        self.used += np.bincount(slots, minlength=len(self.used))
-        return slots, at
+        firsts = pc.binary_join_element_wise("", lists.values.take(pa.array(at[:-1])), " ")  # no space stands before these
+        names, index = self.codes(firsts, lists.values)
+        own, index = index[: len(firsts)], index[len(firsts) :]
+        index[at[:-1]] = own
+        return self.slots(names, index), at
 
     def _lists(self, texts: pa.Array) -> list[tuple[np.ndarray, pa.ListArray]]:
         """Places in texts, and lists of chunks of the texts there."""
@@ -142,10 +173,8 @@ class ChunkTable:
         parts, order = [pa.array([], pa.list_(pa.int32()))], [np.empty(0, np.int64)]
         for places, lists in self._lists(texts):
             slots, at = self._slots_of(lists)
-            begin, n = self.start[slots], np.diff(self.start)[slots]
-            ends = np.cumsum(n)
-            values = self.flat[np.repeat(begin - ends + n, n) + np.arange(ends[-1])]
-            parts.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends][at].astype(np.int32)), pa.array(values)))
+            values, ends = self.gather(slots)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(values)))
             order.append(places)
         place = np.argsort(np.concatenate(order))
         out = pa.concat_arrays(parts)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import row_groups, saved, shared_dir, table, text_lengths
-from tidewatch.llm.library_bpe import chunk_table
+from tidewatch.llm.library_bpe import GROUP_BYTES, chunk_table
 
 FILE_SCHEMA = "doc_id long, file_row long, ids array<int>"
 
@@ -32,7 +32,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         table_of, row = chunk_table(tokenizer_path), 0
         for b in batches:
             texts = b.column(1).fill_null("")
-            for lo, hi in row_groups(text_lengths(texts)):
+            for lo, hi in row_groups(text_lengths(texts), GROUP_BYTES):
                 ids = table_of.ids(texts.slice(lo, hi - lo))
                 at = ids.offsets.to_numpy()
                 values = np.insert(ids.values.to_numpy(), at[1:], end_id)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import row_groups, saved, table, text_lengths
-from tidewatch.llm.library_bpe import chunk_table
+from tidewatch.llm.library_bpe import GROUP_BYTES, chunk_table
 
 #: Lengths of one block of the two-level suffix sums.
 BLOCK = 1024
@@ -34,7 +34,7 @@ def length_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
         seen: dict[int, int] = {}
         for b in batches:
             texts = b.column(0).fill_null("")
-            for lo, hi in row_groups(text_lengths(texts)):
+            for lo, hi in row_groups(text_lengths(texts), GROUP_BYTES):
                 for n, times in zip(*(x.tolist() for x in np.unique(table_of.counts(texts.slice(lo, hi - lo)), return_counts=True)), strict=True):
                     seen[n] = seen.get(n, 0) + times
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
