@@ -64,6 +64,14 @@ def test_small_memo_forgets_and_still_agrees(spark, library):
     assert got == library(many)
 
 
+def test_texts_without_spaces_are_forgotten(library):
+    table, rng = library_bpe.ChunkTable(JSON, limit=1000), random.Random(4)
+    for _ in range(40):
+        text = "".join(rng.choice("日本語テストひらがな,") for _ in range(3000))
+        assert table.ids(pa.array([text, "a b"])).to_pylist() == library([text, "a b"])
+        assert len(table.flat) < 50_000
+
+
 def test_model_sees_each_piece_once(library, monkeypatch):
     seen, model = [], Tokenizer.from_file(JSON).model
 

@@ -27,6 +27,8 @@ _ODD = f" (?:[{ANY_SPACE}]|$)"
 
 #: Bytes of texts that are encoded at a time: each time, what is remembered is put in a dictionary anew.
 GROUP_BYTES = 8_000_000
+#: Bytes of the longest names that are remembered for long: texts without spaces are one chunk.
+LONGEST = 1024
 
 
 def byte_chars() -> dict[int, str]:
@@ -42,7 +44,7 @@ def _starts(strings: pa.Array) -> np.ndarray:
 
 
 class Memo:
-    """Ids of distinct names, remembered up to a number of names; the most used quarter outlives that.
+    """Ids of distinct names, remembered up to a number of names and of bytes; the most used quarter outlives that, without long names.
 
     encode gives ids, and how many there are of each name, of names (strings, none null).
     """
@@ -53,7 +55,10 @@ class Memo:
         self.start, self.flat, self.used = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 4])
+        size = pc.binary_length(self.names).to_numpy().astype(np.int64)
+        best = np.argsort(-self.used, kind="stable")
+        best = best[size[best] <= LONGEST][: self.limit // 4]
+        stay = np.sort(best[np.cumsum(size[best]) <= 8 * self.limit])
         n = np.diff(self.start)
         keep = np.zeros(len(n), bool)
         keep[stay] = True
@@ -64,7 +69,7 @@ class Memo:
 
     def codes(self, *parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All names, those remembered first, and the places among them of the parts' values, one part after another."""
-        if len(self.names) > self.limit or len(self.flat) > 16 * self.limit or self.names.nbytes > 64 * self.limit:
+        if len(self.names) > self.limit or self.names.nbytes > 32 * self.limit:  # a name has no more ids than bytes, but for a space
             self._forget()
         coded = pa.chunked_array([self.names, *parts]).dictionary_encode().chunks  # without empty ones
         return coded[-1].dictionary, np.concatenate([c.indices.to_numpy() for c in coded]).astype(np.int64)[len(self.names) :]
